@@ -97,8 +97,8 @@ def word_labels(
 
     A label without the word counts with weight 0. Such cells are never made: the words of
     a label are few beside the grid of all words and labels, and what a zero adds to the
-    sums is known. Ties go to the label that appears first, and the first label stands for
-    a word without any weight.
+    sums is known. Ties (weights that agree to nine digits) go to the label that appears
+    first, and the first label stands for a word without any weight.
     """
     labels = positions.agg(F.count("*")).scalar()
     placed = weights.join(lookup(positions), label)
@@ -106,7 +106,7 @@ def word_labels(
     square = F.sum(F.col("weight") * F.col("weight")) / labels
     strongest = F.max_by(
         F.struct("position", F.col(label).alias("label")),
-        F.struct("weight", -F.col("position")),
+        F.struct(F.round("weight", 9), -F.col("position")),
     )
     known = placed.groupBy("word").agg(
         strongest.alias("best"),

@@ -8,22 +8,17 @@ from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewloom.functions.fixed_values import RECIPE_COLUMNS
 from reviewloom.functions.text import join_words, recipe_words
 
-RECIPES_SCHEMA = "name string, tags string, steps string, description string, ingredients string"
-
-
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     """The text columns of a recipe CSV with a header, in whatever order they come.
 
-    All other columns are read over. Quoted fields may span lines, so one file is one
-    task: keep large collections in several files, or in parquet.
+    All other columns are left out. Quoted fields may span lines, so one file is one task:
+    keep large collections in several files, or in parquet.
     """
-    reader = spark.read.options(header=True, multiLine=True, escape='"', enforceSchema=False)
-    names = reader.csv(path).columns
-    schema = ", ".join(f"`{name}` string" for name in names)
-    texts = [part.split()[0] for part in RECIPES_SCHEMA.split(", ")]
-    return reader.schema(schema).csv(path).select(*[t for t in texts if t in names])
+    recipes = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+    return recipes.select(*[name for name in RECIPE_COLUMNS if name in recipes.columns])
 
 
 def recipe_word_lists(

@@ -19,12 +19,18 @@ from reviewloom.functions.text import (
 from reviewloom.operators.ids import encode_labels
 
 # One review of the FILTER variant; of the FULL variant only the pictures differ.
-RECORD_FIELDS = "business_id string, user_id string, rating int, review_text string"
-FILTER_RECORD = f"struct<{RECORD_FIELDS.replace(' ', ':').replace(',:', ',')},pics:array<string>>"
+FILTER_RECORD = (
+    "struct<business_id:string,user_id:string,rating:int,review_text:string,"
+    "pics:array<string>>"
+)
 FULL_RECORD = (
-    f"struct<{RECORD_FIELDS.replace(' ', ':').replace(',:', ',')},pics:array<struct<id:string>>>"
+    "struct<business_id:string,user_id:string,rating:int,review_text:string,"
+    "pics:array<struct<id:string>>>"
+)
+FILTER_FILE = (
+    f"struct<train:array<{FILTER_RECORD}>,val:array<{FILTER_RECORD}>,"
+    f"test:array<{FILTER_RECORD}>>"
 )
-FILTER_FILE = f"struct<train:array<{FILTER_RECORD}>,val:array<{FILTER_RECORD}>,test:array<{FILTER_RECORD}>>"
 FULL_FILE = f"array<{FULL_RECORD}>"
 
 # Reviews with integer ids.
