@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions import vectors as V
 from reviewloom.operators.durable import lookup, stored
-from reviewloom.operators.tfidf import weigh
+from reviewloom.operators.tfidf import document_lengths, raw_weights, weigh
 
 ENTITIES = ("user", "business")
 REVIEW_KEYS = ("user_id", "business_id", "review_id")
@@ -32,19 +32,20 @@ def vector_sums(size: int, vector: str = "vec", times: Column | None = None) ->
     return F.array(*[F.sum(part) for part in parts])
 
 
+def _entity_words(counts: DataFrame, entity: str) -> DataFrame:
+    """How often each entity uses each word in all its reviews (``stored``)."""
+    key = f"{entity}_id"
+    known = counts.where(F.col(key).isNotNull())
+    return stored(known.groupBy(key, "word").agg(F.sum("n").alias("tf")), f"{entity}-words")
+
+
 def entity_word_weights(counts: DataFrame, entity: str) -> DataFrame:
     """TF-IDF of each word for each user (or business).
 
     The document of an entity is all words of all its reviews; every occurrence of a word
     there has the same weight.
     """
-    key = f"{entity}_id"
-    per_word = (
-        counts.where(F.col(key).isNotNull())
-        .groupBy(key, "word")
-        .agg(F.sum("n").alias("tf"))
-    )
-    return weigh(stored(per_word, f"{entity}-words"), key)
+    return weigh(_entity_words(counts, entity), f"{entity}_id")
 
 
 def word_level(
@@ -83,48 +84,52 @@ def review_sums(
     ``business_weight``, both vectors being the same unless they are weighted.
     """
     counts = counts.where(F.col("user_id").isNotNull() & F.col("business_id").isNotNull())
+    vectors = lookup(vectors.select("word", "vec"))
     if not weighting.with_tfidf:
-        with_vectors = counts.join(lookup(vectors.select("word", "vec")), "word")
-        plain = with_vectors.groupBy(*REVIEW_KEYS).agg(
-            vector_sums(size, times=F.col("n")).alias("user_vec"),
-            F.sum("n").cast("double").alias("user_weight"),
-        )
-        return stored(
-            plain.withColumn("business_vec", F.col("user_vec")).withColumn(
-                "business_weight", F.col("user_weight")
-            ),
-            "review-sums",
+        sums = (
+            counts.join(vectors, "word")
+            .groupBy(*REVIEW_KEYS)
+            .agg(
+                vector_sums(size, times=F.col("n")).alias("user_vec"),
+                F.sum("n").cast("double").alias("user_weight"),
+            )
+            .withColumn("business_vec", F.col("user_vec"))
+            .withColumn("business_weight", F.col("user_weight"))
         )
+        return stored(sums, "review-sums")
 
-    weighed = counts
+    # A weight is a raw weight over the length of its document. The lengths are the same
+    # for all words of a review, so they are divided by once per review at the end.
+    weighed, lengths = counts, {}
     for entity in ENTITIES:
         key = f"{entity}_id"
-        weights = entity_word_weights(counts, entity).select(
-            key, "word", F.col("weight").alias(f"{entity}_word_weight")
+        raw = raw_weights(_entity_words(counts, entity), key)
+        lengths[entity] = document_lengths(raw, key)
+        weighed = weighed.join(
+            raw.select(key, "word", F.col("r").alias(f"{entity}_r")), [key, "word"]
         )
-        weighed = weighed.join(weights, [key, "word"])
-    with_vectors = weighed.join(lookup(vectors.select("word", "vec")), "word")
-    weight_sums = [
-        F.sum(F.col("n") * F.col(f"{entity}_word_weight")).alias(f"{entity}_weight")
-        for entity in ENTITIES
-    ]
+    times = {entity: F.col("n") * F.col(f"{entity}_r") for entity in ENTITIES}
+    sums = [F.sum(times[entity]).alias(f"{entity}_weight") for entity in ENTITIES]
     if weighting.weighted_vectors:
-        summed = with_vectors.groupBy(*REVIEW_KEYS).agg(
-            *[
-                vector_sums(
-                    size, times=F.col("n") * F.col(f"{entity}_word_weight")
-                ).alias(f"{entity}_vec")
-                for entity in ENTITIES
-            ],
-            *weight_sums,
-        )
+        sums += [vector_sums(size, times=times[e]).alias(f"{e}_vec") for e in ENTITIES]
     else:
-        summed = (
-            with_vectors.groupBy(*REVIEW_KEYS)
-            .agg(vector_sums(size, times=F.col("n")).alias("user_vec"), *weight_sums)
-            .withColumn("business_vec", F.col("user_vec"))
+        sums += [vector_sums(size, times=F.col("n")).alias("vec")]
+    rows = weighed.join(vectors, "word").groupBy(*REVIEW_KEYS).agg(*sums)
+    for entity in ENTITIES:
+        length = F.col("length")
+        weight = F.col(f"{entity}_weight") / length
+        vector = (
+            V.divide(F.col(f"{entity}_vec"), length)
+            if weighting.weighted_vectors
+            else F.col("vec")
+        )
+        rows = (
+            rows.join(lengths[entity], f"{entity}_id")
+            .withColumn(f"{entity}_weight", weight)
+            .withColumn(f"{entity}_vec", vector)
+            .drop("length")
         )
-    return stored(summed, "review-sums")
+    return stored(rows.drop("vec"), "review-sums")
 
 
 def entity_sums(sums: DataFrame, entity: str, size: int) -> DataFrame:

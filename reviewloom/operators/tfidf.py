@@ -26,24 +26,36 @@ def text_word_counts(
     return words.groupBy(key, "word").agg(F.count("*").alias("tf"))
 
 
-def weigh(counts: DataFrame, key: str, documents: DataFrame | None = None) -> DataFrame:
-    """Add ``df`` and ``weight`` to the stored table ``key``, ``word``, ``tf``.
+def raw_weights(
+    counts: DataFrame, key: str, documents: DataFrame | None = None
+) -> DataFrame:
+    """Add ``df`` and ``r`` to the stored table ``key``, ``word``, ``tf``.
 
     ``documents`` holds one row per document, where documents without words count too.
-    The length of a document is an aggregate that is joined back instead of a window,
-    since one document (a user, a business, a source) may hold a large part of all words.
     """
     if documents is None:
         documents = counts.select(key).distinct()
     total = documents.agg(F.count("*")).scalar()
     frequencies = stored(counts.groupBy("word").agg(F.count("*").alias("df")), "df")
     idf = F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    raw = counts.join(lookup(frequencies), "word").withColumn("_r", F.col("tf") * idf)
-    lengths = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_r") * F.col("_r"))).alias("_length"))
-    return (
-        raw.join(lengths, key)
-        .withColumn("weight", F.col("_r") / F.col("_length"))
-        .select(key, "word", "tf", "df", "weight")
+    joined = counts.join(lookup(frequencies), "word")
+    return joined.select(key, "word", "tf", "df", (F.col("tf") * idf).alias("r"))
+
+
+def document_lengths(raw: DataFrame, key: str) -> DataFrame:
+    """The length of each document's vector of raw weights.
+
+    This is an aggregate to be joined back instead of a window, since one document (a
+    user, a business, a source) may hold a large part of all words.
+    """
+    return raw.groupBy(key).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("length"))
+
+
+def weigh(counts: DataFrame, key: str, documents: DataFrame | None = None) -> DataFrame:
+    """Add ``df`` and ``weight`` to the stored table ``key``, ``word``, ``tf``."""
+    raw = raw_weights(counts, key, documents)
+    return raw.join(document_lengths(raw, key), key).select(
+        key, "word", "tf", "df", (F.col("r") / F.col("length")).alias("weight")
     )
 
 

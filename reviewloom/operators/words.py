@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import clean_text, split_on_blank
-from reviewloom.operators.durable import lookup
+from reviewloom.operators.durable import lookup, stored
 
 
 def all_words(reviews: DataFrame, text: str = "review_text") -> DataFrame:
@@ -47,18 +47,21 @@ def values_seen_once(ids: DataFrame, column: str) -> DataFrame:
     )
 
 
-def drop_double_singletons(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Drop a review when it is the only one of its user and the only one of its business.
+def double_singletons(ids: DataFrame) -> DataFrame:
+    """The reviews that are the only one of their user and the only one of their business.
 
-    ``ids`` (one row per review, by default ``rows`` itself) decides. A value seen once
-    names its single review, so the two lists meet on the review id, which no hot user or
-    business can skew.
+    ``ids`` has one row per review. A value seen once names its single review, so the two
+    lists meet on the review id, which no hot user or business can skew.
     """
-    ids = rows if ids is None else ids
     lone_user = values_seen_once(ids, "user_id").select("review_id")
     lone_business = values_seen_once(ids, "business_id").select("review_id")
-    both = lone_user.join(lone_business, "review_id", "left_semi")
-    return rows.join(both, "review_id", "left_anti")
+    return lone_user.join(lone_business, "review_id", "left_semi")
+
+
+def drop_double_singletons(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The rows of all reviews but the double singletons, as ``ids`` has them."""
+    lone = stored(double_singletons(rows if ids is None else ids), "lone")
+    return rows.join(lookup(lone), "review_id", "left_anti")
 
 
 def review_pairs(words: DataFrame) -> DataFrame:

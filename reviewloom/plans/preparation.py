@@ -43,7 +43,7 @@ def kept_word_counts(
     vectors: DataFrame,
     stop_words: Iterable[str] = STOP_WORDS,
 ) -> DataFrame:
-    """Word counts of the reviews that stay after both clean-up steps (``stored``).
+    """Word counts of the reviews that stay after both clean-up steps.
 
     Reviews without a usable word have no row here. The text is read and cut into words
     once; all later steps start from the written counts.
@@ -70,9 +70,7 @@ def prepare(
 ) -> Prepared:
     """The whole preparation. ``vocabulary`` and ``vectors`` are stored tables."""
     size = settings.vector_size
-    counts = stored(
-        kept_word_counts(reviews, vocabulary, vectors, settings.stop_words), "kept"
-    )
+    counts = kept_word_counts(reviews, vocabulary, vectors, settings.stop_words)
     sums = review_sums(counts, vectors, size, settings.weighting)
     users = stored(entity_means(sums, "user", size), "users")
     businesses = stored(entity_means(sums, "business", size), "businesses")

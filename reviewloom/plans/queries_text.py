@@ -17,9 +17,9 @@ from reviewloom.sources.vectors import lexicon_vectors, to_array, to_columns
 
 
 def document_vocabulary(spark, folder, min_df=S.MIN_DF):
-    """The words of at least ``min_df`` documents (``stored``)."""
-    documents = tables.table(spark, folder, "documents")
-    return stored(vocabulary.build_vocabulary(documents, "text", min_df=min_df), "vocabulary")
+    """The words of at least ``min_df`` documents."""
+    documents = tables.documents(spark, folder)
+    return vocabulary.build_vocabulary(documents, "text", min_df=min_df)
 
 
 @query(
@@ -38,7 +38,7 @@ WHERE word <> '' AND word NOT IN ({S.STOP_LIST}) GROUP BY ALL""",
     ),
 )
 def tfidf_by_source(spark, folder):
-    documents = tables.table(spark, folder, "documents").select("source", "text")
+    documents = tables.documents(spark, folder).select("source", "text")
     tokens = words.all_words(documents, "text").where(F.col("word") != "")
     kept = vocabulary.without_words(tokens, STOP_WORDS)
     counts = stored(kept.groupBy("source", "word").agg(F.count("*").alias("tf")), "source-words")
@@ -54,7 +54,7 @@ FROM (SELECT doc_id, unnest(string_split({S.cleaned('text')}, ' ')) AS word FROM
 WHERE word <> '' AND word NOT IN ({S.STOP_LIST}) GROUP BY ALL""",
 )
 def clean_words(spark, folder):
-    documents = tables.table(spark, folder, "documents").select("doc_id", "text")
+    documents = tables.documents(spark, folder).select("doc_id", "text")
     tokens = words.all_words(documents, "text").where(F.col("word") != "")
     kept = vocabulary.without_words(tokens, STOP_WORDS)
     return kept.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
@@ -200,7 +200,7 @@ def negation_words(spark, folder):
     texts = (
         tables.table(spark, folder, "conversations")
         .select("text")
-        .unionByName(tables.table(spark, folder, "documents").select("text"))
+        .unionByName(tables.documents(spark, folder).select("text"))
     )
     tokens = texts.select(F.explode(T.split_on_blank(F.lower("text"))).alias("word"))
     return (
@@ -228,7 +228,7 @@ def parallel_lists(spark, folder):
 
 @query("vocabulary", S.with_parts(S.vocabulary(2), "SELECT word, idx, df FROM vocab"))
 def vocabulary_words(spark, folder):
-    documents = tables.table(spark, folder, "documents")
+    documents = tables.documents(spark, folder)
     return vocabulary.build_vocabulary(documents, "text", min_df=2).select("word", "idx", "df")
 
 
@@ -242,7 +242,7 @@ WHERE df >= 0.002 * (SELECT count(*) FROM documents)::double
   AND df <= 0.5 * (SELECT count(*) FROM documents)::double""",
 )
 def vocabulary_by_share(spark, folder):
-    documents = tables.table(spark, folder, "documents")
+    documents = tables.documents(spark, folder)
     built = vocabulary.build_vocabulary(
         documents, "text", stop_words=(), min_df=0.002, max_df=0.5
     )
@@ -256,7 +256,7 @@ SELECT DISTINCT word FROM (SELECT unnest({S.tokens('text')}) AS word FROM docume
 WHERE word NOT IN ({S.STOP_LIST})""",
 )
 def lexicon(spark, folder):
-    documents = tables.table(spark, folder, "documents")
+    documents = tables.documents(spark, folder)
     counted = vocabulary.word_document_counts(documents, "text")
     return vocabulary.lexicon(counted)
 
@@ -296,7 +296,7 @@ WHERE word IN (SELECT word FROM vocab) GROUP BY ALL"""
 )
 def document_tfidf(spark, folder):
     vocab = document_vocabulary(spark, folder)
-    documents = tables.table(spark, folder, "documents")
+    documents = tables.documents(spark, folder)
     weighed = tfidf.document_weights(documents, "doc_id", "text", vocab)
     return weighed.withColumn("weight", rounded("weight"))
 
@@ -321,7 +321,7 @@ _LANG_JOINED = (
 )
 def group_tfidf_join(spark, folder):
     vocab = document_vocabulary(spark, folder)
-    documents = tables.table(spark, folder, "documents")
+    documents = tables.documents(spark, folder)
     weighed = tfidf.label_weights_joined(documents, "lang", "text", vocab)
     return weighed.withColumn("weight", rounded("weight"))
 
@@ -353,7 +353,7 @@ GROUP BY d.source, w.word, s.n"""
 )
 def group_tfidf_mean(spark, folder):
     vocab = document_vocabulary(spark, folder)
-    documents = tables.table(spark, folder, "documents")
+    documents = tables.documents(spark, folder)
     averaged = tfidf.label_weights_averaged(documents, "doc_id", "source", "text", vocab)
     return averaged.withColumn("weight", rounded("weight"))
 
@@ -385,7 +385,7 @@ FROM grid GROUP BY word""",
 )
 def word_label(spark, folder):
     vocab = document_vocabulary(spark, folder)
-    documents = tables.table(spark, folder, "documents")
+    documents = tables.documents(spark, folder)
     weights = stored(
         tfidf.label_weights_joined(documents, "lang", "text", vocab), "label-weights"
     )
@@ -403,7 +403,7 @@ def word_label(spark, folder):
 )
 def word_label_mean(spark, folder):
     vocab = document_vocabulary(spark, folder)
-    documents = tables.table(spark, folder, "documents")
+    documents = tables.documents(spark, folder)
     weights = stored(
         tfidf.label_weights_averaged(documents, "doc_id", "source", "text", vocab),
         "label-weights",

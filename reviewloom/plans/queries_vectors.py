@@ -29,7 +29,7 @@ def _inputs(spark, folder):
 
 def _kept(spark, folder):
     reviews, vocab, vectors = _inputs(spark, folder)
-    return stored(kept_word_counts(reviews, vocab, vectors), "kept"), vectors
+    return kept_word_counts(reviews, vocab, vectors), vectors
 
 
 def _review_sums(spark, folder, mode):

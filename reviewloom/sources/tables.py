@@ -16,14 +16,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan that has fewer partitions than there are cores, over all cores.
+
+    Cutting texts into words is worth a shuffle of them only while cores stand idle; a
+    table of many files keeps its own partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def reviews_text(spark: SparkSession, folder: str) -> DataFrame:
     """Long texts in several languages, with some users and businesses seen only once."""
-    documents = table(spark, folder, "documents")
+    texts = documents(spark, folder)
     labels = table(spark, folder, "labels")
     doc = F.col("doc_id")
     rating = F.lit(1) + 3 * F.col("quality") + (F.lit(1) - F.col("toxic"))
     solo = F.concat(F.lit("solo"), doc.cast("string"))
-    return documents.join(labels, "doc_id", "left").select(
+    return texts.join(labels, "doc_id", "left").select(
         doc.alias("review_id"),
         F.when(doc % 10 == 0, doc + 1_000_000).otherwise(doc * 7919 % 61).alias("user_id"),
         F.when(doc % 20 == 0, solo).otherwise(F.col("source")).alias("business_id"),
