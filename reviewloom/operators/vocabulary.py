@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.fixed_values import PLAIN_NEGATIONS, STOP_WORDS
 from reviewloom.functions.text import word_tokens
+from reviewloom.operators.durable import lookup
 from reviewloom.operators.ordering import numbered
 
 
@@ -62,18 +63,30 @@ def lexicon(vocabulary: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> Da
 def usable_words(
     vocabulary: DataFrame, vectors: DataFrame, stop_words: Iterable[str] = STOP_WORDS
 ) -> DataFrame:
-    """The words that review words are kept for.
+    """The rows of the vocabulary that review words are kept for.
 
-    They have an index, a vector, at least one character, and are no stop words. Deciding
+    Their words have a vector, at least one character, and are no stop words. Deciding
     that once per dictionary word leaves a single lookup per word of a review.
     """
     return (
-        lexicon(vocabulary, stop_words)
+        without_words(vocabulary, stop_words)
         .where(F.col("word") != "")
         .join(vectors.select("word"), "word", "left_semi")
     )
 
 
+def code_words(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Replace each ``word`` by its index; words outside the vocabulary drop out."""
+    codes = lookup(vocabulary.select("word", F.col("idx").alias("_code")))
+    return rows.join(codes, "word").withColumn("word", F.col("_code")).drop("_code")
+
+
+def spell_words(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The inverse of :func:`code_words`."""
+    words = lookup(vocabulary.select(F.col("idx").alias("word"), F.col("word").alias("_text")))
+    return rows.join(words, "word").withColumn("word", F.col("_text")).drop("_text")
+
+
 def negation_words(stop_words: DataFrame) -> DataFrame:
     """The plain negations, the stop words that end in ``'t``, and these without it."""
     contractions = stop_words.select("word").where(F.col("word").endswith("'t"))

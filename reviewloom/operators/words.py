@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import clean_text, split_on_blank
-from reviewloom.operators.durable import lookup, stored
+from reviewloom.operators.durable import lookup, stored_lookup
 
 
 def all_words(reviews: DataFrame, text: str = "review_text") -> DataFrame:
@@ -17,10 +17,19 @@ def all_words(reviews: DataFrame, text: str = "review_text") -> DataFrame:
 
 
 def review_words(reviews: DataFrame, usable: DataFrame) -> DataFrame:
-    """One row per occurrence of a usable word. ``usable`` is a stored table."""
+    """One row per occurrence of a usable word."""
     return all_words(reviews).join(lookup(usable.select("word")), "word", "left_semi")
 
 
+def coded_review_words(reviews: DataFrame, usable: DataFrame) -> DataFrame:
+    """The same with the word's index as ``word``: shorter rows and keys from here on.
+
+    ``usable`` (``word``, ``idx``) is joined as it comes; pass it through a lookup.
+    """
+    codes = usable.withColumnRenamed("idx", "_code")
+    return all_words(reviews).join(codes, "word").withColumn("word", F.col("_code")).drop("_code")
+
+
 def review_word_counts(words: DataFrame) -> DataFrame:
     """How often (``n``) each word occurs in each review."""
     keys = ["user_id", "business_id", "review_id", "word"]
@@ -60,8 +69,8 @@ def double_singletons(ids: DataFrame) -> DataFrame:
 
 def drop_double_singletons(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """The rows of all reviews but the double singletons, as ``ids`` has them."""
-    lone = stored(double_singletons(rows if ids is None else ids), "lone")
-    return rows.join(lookup(lone), "review_id", "left_anti")
+    lone = stored_lookup(double_singletons(rows if ids is None else ids), "lone")
+    return rows.join(lone, "review_id", "left_anti")
 
 
 def review_pairs(words: DataFrame) -> DataFrame:

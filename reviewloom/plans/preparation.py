@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.fixed_values import STOP_WORDS
 from reviewloom.functions.vectors import pair_concat, pair_product
-from reviewloom.operators.durable import stored
+from reviewloom.operators.durable import stored, stored_lookup
 from reviewloom.operators.entity_vectors import (
     Weighting,
     entity_means,
@@ -18,12 +18,12 @@ from reviewloom.operators.entity_vectors import (
     review_sums,
 )
 from reviewloom.operators.sampling import attach_vectors, labelled, unseen_pairs
-from reviewloom.operators.vocabulary import usable_words
+from reviewloom.operators.vocabulary import code_words, usable_words
 from reviewloom.operators.words import (
+    coded_review_words,
     drop_double_singletons,
     review_pairs,
     review_word_counts,
-    review_words,
 )
 
 
@@ -45,18 +45,23 @@ def kept_word_counts(
 ) -> DataFrame:
     """Word counts of the reviews that stay after both clean-up steps.
 
-    Reviews without a usable word have no row here. The text is read and cut into words
-    once; all later steps start from the written counts.
+    ``word`` is the word's index in the vocabulary. Reviews without a usable word have no
+    row here. The text is read and cut into words once; all later steps start from the
+    written counts.
     """
-    usable = stored(usable_words(vocabulary, vectors, stop_words), "usable")
+    usable = usable_words(vocabulary.select("word", "idx"), vectors, stop_words)
     texts = reviews.select("user_id", "business_id", "review_id", "review_text")
-    counts = stored(review_word_counts(review_words(texts, usable)), "counts")
+    words = coded_review_words(texts, stored_lookup(usable, "usable"))
+    counts = stored(review_word_counts(words), "counts")
     return drop_double_singletons(counts, review_pairs(counts))
 
 
 @dataclass(frozen=True)
 class Prepared:
-    """``seen`` are reviews with leave-one-out vectors, ``unseen`` are sampled pairs."""
+    """``seen`` are reviews with leave-one-out vectors, ``unseen`` are sampled pairs.
+
+    The words of ``counts`` are indices of the vocabulary.
+    """
 
     counts: DataFrame
     seen: DataFrame
@@ -68,10 +73,14 @@ class Prepared:
 def prepare(
     reviews: DataFrame, vocabulary: DataFrame, vectors: DataFrame, settings: Settings
 ) -> Prepared:
-    """The whole preparation. ``vocabulary`` and ``vectors`` are stored tables."""
+    """The whole preparation.
+
+    ``vocabulary`` (``word``, ``idx``) and ``vectors`` (``word``, ``vec``) are stored tables.
+    """
     size = settings.vector_size
     counts = kept_word_counts(reviews, vocabulary, vectors, settings.stop_words)
-    sums = review_sums(counts, vectors, size, settings.weighting)
+    coded = code_words(vectors, vocabulary)
+    sums = review_sums(counts, coded, size, settings.weighting)
     users = stored(entity_means(sums, "user", size), "users")
     businesses = stored(entity_means(sums, "business", size), "businesses")
     seen = stored(leave_one_out(sums, size), "pairs")

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.vectors import length
 from reviewloom.operators import learning, stats
-from reviewloom.plans import sql as S
-from reviewloom.plans.modelling import baseline, deep_learning, entity_groups
-from reviewloom.plans.preparation import Settings, prepare
-from reviewloom.plans.queries_vectors import _inputs, _review_sums
 from reviewloom.operators.durable import stored
 from reviewloom.operators.entity_vectors import ENTITIES, entity_means
 from reviewloom.operators.groups import attach_groups, group_keywords
 from reviewloom.operators.tfidf import keywords_per_label
+from reviewloom.operators.vocabulary import spell_words
+from reviewloom.plans import sql as S
+from reviewloom.plans.modelling import baseline, deep_learning, entity_groups
+from reviewloom.plans.preparation import Settings, prepare
+from reviewloom.plans.queries_vectors import _inputs, _review_sums
 from reviewloom.plans.registry import query
 from reviewloom.sources import tables
 from reviewloom.sources.recipes import recipe_word_lists
@@ -70,20 +71,22 @@ def kmeans_sizes(spark, folder):
 @query("kmeans_keywords")
 def kmeans_keywords(spark, folder):
     """The telling words of groups found by k-means, one list per group."""
-    prepared, _ = _prepared(spark, folder)
+    reviews, vocab, vectors = _inputs(spark, folder)
+    prepared = prepare(reviews, vocab, vectors, Settings(S.SIZE))
     entity = "business"
     grouped = stored(entity_groups(prepared.businesses, entity, GROUPS[entity]), "groups")
-    vocab = stored(prepared.counts.select("word").distinct(), "words")
-    top = group_keywords(prepared.counts, grouped, vocab, entity)
-    return keywords_per_label(top)
+    counts = spell_words(prepared.counts, vocab)
+    return keywords_per_label(group_keywords(counts, grouped, vocab, entity))
 
 
 @query("grouped_words")
 def grouped_words(spark, folder):
     """Words of each user with the user's group."""
-    prepared, _ = _prepared(spark, folder)
+    reviews, vocab, vectors = _inputs(spark, folder)
+    prepared = prepare(reviews, vocab, vectors, Settings(S.SIZE))
     grouped = stored(entity_groups(prepared.users, "user", GROUPS["user"]), "groups")
-    return attach_groups(prepared.counts.select("user_id", "word", "n"), grouped, "user")
+    counts = spell_words(prepared.counts.select("user_id", "word", "n"), vocab)
+    return attach_groups(counts, grouped, "user")
 
 
 @query("pca_points")

@@ -8,6 +8,7 @@ from reviewloom.functions import vectors as V
 from reviewloom.operators import entity_vectors as E
 from reviewloom.operators import groups, ids, sampling, similarity
 from reviewloom.operators.durable import stored
+from reviewloom.operators.vocabulary import code_words, spell_words
 from reviewloom.plans import sql as S
 from reviewloom.plans.preparation import Settings, kept_word_counts, prepare, training_set
 from reviewloom.plans.queries_text import document_vocabulary, word_label_parts
@@ -28,12 +29,13 @@ def _inputs(spark, folder):
 
 
 def _kept(spark, folder):
+    """Word counts and vectors by the index of the word, and the vocabulary."""
     reviews, vocab, vectors = _inputs(spark, folder)
-    return kept_word_counts(reviews, vocab, vectors), vectors
+    return kept_word_counts(reviews, vocab, vectors), code_words(vectors, vocab), vocab
 
 
 def _review_sums(spark, folder, mode):
-    counts, vectors = _kept(spark, folder)
+    counts, vectors, _ = _kept(spark, folder)
     return E.review_sums(counts, vectors, S.SIZE, MODES[mode])
 
 
@@ -48,8 +50,8 @@ def _register_word_weights(entity):
         ),
     )
     def word_weights(spark, folder):
-        counts, _ = _kept(spark, folder)
-        weights = E.entity_word_weights(counts, entity)
+        counts, _, vocab = _kept(spark, folder)
+        weights = spell_words(E.entity_word_weights(counts, entity), vocab)
         return weights.withColumn("weight", rounded("weight"))
 
 
@@ -73,9 +75,9 @@ JOIN vec b ON c.word = b.word AND b.dim = {S.SIZE - 1}""",
         ),
     )
     def word_level(spark, folder):
-        counts, vectors = _kept(spark, folder)
+        counts, vectors, vocab = _kept(spark, folder)
         rows = E.word_level(counts, vectors, entity, with_tfidf)
-        return rows.select(
+        return spell_words(rows, vocab).select(
             key,
             "review_id",
             "word",
@@ -399,8 +401,7 @@ FROM wl QUALIFY rank <= 500""",
         ),
     )
     def group_keywords(spark, folder):
-        counts, _ = _kept(spark, folder)
-        vocab = document_vocabulary(spark, folder)
+        counts, _, vocab = _kept(spark, folder)
         entities = tables.reviews_text(spark, folder).select(key).distinct()
         embeddings = tables.table(spark, folder, "embeddings")
         number = embeddings.agg(F.count("*")).scalar()
@@ -408,7 +409,7 @@ FROM wl QUALIFY rank <= 500""",
         place = F.col(key) if entity == "user" else F.col("code")
         labelled = coded.withColumn("vec_id", place % number).join(embeddings, "vec_id")
         grouped = stored(labelled.select(key, F.col("label").alias("group")), "groups")
-        return groups.group_keywords(counts, grouped, vocab, entity)
+        return groups.group_keywords(spell_words(counts, vocab), grouped, vocab, entity)
 
 
 for _entity in E.ENTITIES:
