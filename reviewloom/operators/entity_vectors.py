@@ -20,6 +20,9 @@ from reviewloom.operators.tfidf import document_lengths, raw_weights, weigh
 ENTITIES = ("user", "business")
 REVIEW_KEYS = ("user_id", "business_id", "review_id")
 
+# The vectors of a vocabulary are broadcast up to this size.
+VECTOR_BROADCAST_BYTES = 256 * 1024 * 1024
+
 
 def vector_sums(size: int, vector: str = "vec", times: Column | None = None) -> Column:
     """Aggregate: the vectors of the group added up, each ``times`` its number.
@@ -75,104 +78,112 @@ class Weighting:
     weighted_vectors: bool = False
 
 
+@dataclass(frozen=True)
+class ReviewSums:
+    """Sums over the words of each review, and what the weights still have to be divided by.
+
+    ``rows`` (stored): the three ids, ``user_weight``, ``business_weight``, and ``vec``;
+    weighted vectors differ by side and come as ``user_vec`` and ``business_vec``.
+    ``lengths`` (stored): for a side with TF-IDF weights the length of each document. The
+    weights in ``rows`` are raw; the length is the same for all reviews of an entity, so
+    it meets the few sums per entity instead of every wide row of a review.
+    """
+
+    rows: DataFrame
+    lengths: dict[str, DataFrame]
+    size: int
+
+    def vector(self, entity: str) -> str:
+        return f"{entity}_vec" if f"{entity}_vec" in self.rows.columns else "vec"
+
+
 def review_sums(
     counts: DataFrame, vectors: DataFrame, size: int, weighting: Weighting = Weighting()
-) -> DataFrame:
-    """Per review and side the sum of its words' vectors and weights (``stored``).
-
-    Columns: the three ids, then ``user_vec``, ``user_weight``, ``business_vec`` and
-    ``business_weight``, both vectors being the same unless they are weighted.
-    """
-    counts = counts.where(F.col("user_id").isNotNull() & F.col("business_id").isNotNull())
-    vectors = lookup(vectors.select("word", "vec"))
-    if not weighting.with_tfidf:
-        sums = (
-            counts.join(vectors, "word")
-            .groupBy(*REVIEW_KEYS)
-            .agg(
-                vector_sums(size, times=F.col("n")).alias("user_vec"),
-                F.sum("n").cast("double").alias("user_weight"),
+) -> ReviewSums:
+    """Per review the sum of its words' vectors, and per side of their weights."""
+    weighed = counts.where(F.col("user_id").isNotNull() & F.col("business_id").isNotNull())
+    lengths: dict[str, DataFrame] = {}
+    if weighting.with_tfidf:
+        for entity in ENTITIES:
+            key = f"{entity}_id"
+            raw = raw_weights(_entity_words(counts, entity), key)
+            lengths[entity] = stored(document_lengths(raw, key), f"{entity}-lengths")
+            weighed = weighed.join(
+                raw.select(key, "word", F.col("r").alias(f"{entity}_r")), [key, "word"]
             )
-            .withColumn("business_vec", F.col("user_vec"))
-            .withColumn("business_weight", F.col("user_weight"))
-        )
-        return stored(sums, "review-sums")
+        times = {entity: F.col("n") * F.col(f"{entity}_r") for entity in ENTITIES}
+    else:
+        times = {entity: F.col("n").cast("double") for entity in ENTITIES}
 
-    # A weight is a raw weight over the length of its document. The lengths are the same
-    # for all words of a review, so they are divided by once per review at the end.
-    weighed, lengths = counts, {}
-    for entity in ENTITIES:
-        key = f"{entity}_id"
-        raw = raw_weights(_entity_words(counts, entity), key)
-        lengths[entity] = document_lengths(raw, key)
-        weighed = weighed.join(
-            raw.select(key, "word", F.col("r").alias(f"{entity}_r")), [key, "word"]
-        )
-    times = {entity: F.col("n") * F.col(f"{entity}_r") for entity in ENTITIES}
     sums = [F.sum(times[entity]).alias(f"{entity}_weight") for entity in ENTITIES]
     if weighting.weighted_vectors:
         sums += [vector_sums(size, times=times[e]).alias(f"{e}_vec") for e in ENTITIES]
+        # Weighted vectors over weights: the lengths cancel out.
+        lengths = {}
     else:
         sums += [vector_sums(size, times=F.col("n")).alias("vec")]
-    rows = weighed.join(vectors, "word").groupBy(*REVIEW_KEYS).agg(*sums)
-    for entity in ENTITIES:
-        length = F.col("length")
-        weight = F.col(f"{entity}_weight") / length
-        vector = (
-            V.divide(F.col(f"{entity}_vec"), length)
-            if weighting.weighted_vectors
-            else F.col("vec")
-        )
-        rows = (
-            rows.join(lengths[entity], f"{entity}_id")
-            .withColumn(f"{entity}_weight", weight)
-            .withColumn(f"{entity}_vec", vector)
-            .drop("length")
-        )
-    return stored(rows.drop("vec"), "review-sums")
+    # The narrow rows are brought together by review before they get their vectors, so
+    # that the wide rows are added up where they are and never shuffled.
+    rows = (
+        weighed.repartition("review_id")
+        .join(lookup(vectors.select("word", "vec"), VECTOR_BROADCAST_BYTES), "word")
+        .groupBy(*REVIEW_KEYS)
+        .agg(*sums)
+    )
+    return ReviewSums(stored(rows, "review-sums"), lengths, size)
+
 
+def entity_sums(sums: ReviewSums, entity: str) -> DataFrame:
+    """Per user (or business) ``vec`` and ``weight`` over its ``reviews``.
 
-def entity_sums(sums: DataFrame, entity: str, size: int) -> DataFrame:
-    """Per user (or business) the sums over its reviews, and their number."""
-    return sums.groupBy(f"{entity}_id").agg(
-        vector_sums(size, f"{entity}_vec").alias("vec"),
+    ``length`` is what the weight of each single review still has to be divided by.
+    """
+    key = f"{entity}_id"
+    totals = sums.rows.groupBy(key).agg(
+        vector_sums(sums.size, sums.vector(entity)).alias("vec"),
         F.sum(f"{entity}_weight").alias("weight"),
         F.count("*").alias("reviews"),
     )
+    if entity not in sums.lengths:
+        return totals.withColumn("length", F.lit(1.0))
+    return totals.join(sums.lengths[entity], key).withColumn(
+        "weight", F.col("weight") / F.col("length")
+    )
 
 
-def entity_means(sums: DataFrame, entity: str, size: int) -> DataFrame:
+def entity_means(sums: ReviewSums, entity: str) -> DataFrame:
     """Per user (or business) the mean vector over all its reviews."""
-    totals = entity_sums(sums, entity, size)
     mean = V.divide(F.col("vec"), F.col("weight")).alias(f"{entity}_vec")
-    return totals.select(f"{entity}_id", mean)
+    return entity_sums(sums, entity).select(f"{entity}_id", mean)
 
 
-def leave_one_out(sums: DataFrame, size: int, sides: Sequence[str] = ENTITIES) -> DataFrame:
+def leave_one_out(sums: ReviewSums, sides: Sequence[str] = ENTITIES) -> DataFrame:
     """Per review the mean vectors of its user and its business without that review.
 
     Reviews whose user or business has no other review are dropped, by the number of
     reviews rather than by a difference of sums that may leave a rounding error.
     """
-    rows = sums
+    rows = sums.rows
     for entity in sides:
         key = f"{entity}_id"
         totals = (
-            entity_sums(sums, entity, size)
+            entity_sums(sums, entity)
             .where(F.col("reviews") > 1)
             .select(
                 key,
-                F.col("vec").alias("_all_vec"),
+                F.col("vec").alias("_all"),
                 F.col("weight").alias("_all_weight"),
+                F.col("length").alias("_length"),
             )
         )
-        other_weight = F.col("_all_weight") - F.col(f"{entity}_weight")
+        other_weight = F.col("_all_weight") - F.col(f"{entity}_weight") / F.col("_length")
         others = F.zip_with(
-            "_all_vec", f"{entity}_vec", lambda x, own: F.try_divide(x - own, other_weight)
+            "_all", sums.vector(entity), lambda x, own: F.try_divide(x - own, F.col("_rest"))
         )
         rows = (
             rows.join(totals, key)
+            .withColumn("_rest", other_weight)
             .withColumn(f"{entity}_vec", others)
-            .drop("_all_vec", "_all_weight")
+            .drop("_all", "_all_weight", "_length", "_rest", f"{entity}_weight")
         )
     return rows.select(*REVIEW_KEYS, *[f"{entity}_vec" for entity in sides])

@@ -15,15 +15,12 @@ def entity_word_totals(counts: DataFrame, entity: str) -> DataFrame:
 
 
 def group_word_counts(counts: DataFrame, groups: DataFrame, entity: str) -> DataFrame:
-    """``group``, ``word``, ``tf`` for all entities of each group.
+    """``group``, ``word``, ``tf`` for all entities of each group (one row per entity).
 
-    ``groups`` has one row per entity. Words are added up per entity before the groups are
-    attached, and per group before the next shuffle.
+    A group's text is never put together: its words are only counted, per input partition
+    before the shuffle.
     """
-    key = f"{entity}_id"
-    labelled = entity_word_totals(counts, entity).join(
-        groups.select(key, F.col("group").cast("int").alias("group")), key
-    )
+    labelled = attach_groups(counts.select(f"{entity}_id", "word", "n"), groups, entity)
     return labelled.groupBy("group", "word").agg(F.sum("n").alias("tf"))
 
 
@@ -54,4 +51,5 @@ def group_keywords(
 def attach_groups(words: DataFrame, groups: DataFrame, entity: str) -> DataFrame:
     """The words of each entity with the group of the entity."""
     key = f"{entity}_id"
-    return words.join(lookup(groups.select(key, "group")), key)
+    labels = groups.select(key, F.col("group").cast("int").alias("group"))
+    return words.join(lookup(labels), key)

@@ -81,9 +81,9 @@ def prepare(
     counts = kept_word_counts(reviews, vocabulary, vectors, settings.stop_words)
     coded = code_words(vectors, vocabulary)
     sums = review_sums(counts, coded, size, settings.weighting)
-    users = stored(entity_means(sums, "user", size), "users")
-    businesses = stored(entity_means(sums, "business", size), "businesses")
-    seen = stored(leave_one_out(sums, size), "pairs")
+    users = stored(entity_means(sums, "user"), "users")
+    businesses = stored(entity_means(sums, "business"), "businesses")
+    seen = stored(leave_one_out(sums), "pairs")
     unseen = attach_vectors(unseen_pairs(seen), users, businesses)
     return Prepared(counts, seen, unseen, users, businesses)
 

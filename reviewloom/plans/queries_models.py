@@ -53,7 +53,7 @@ GROUPS = {"user": 20, "business": 10}
 
 def _grouped(spark, folder, entity):
     sums = _review_sums(spark, folder, "tfidf")
-    means = stored(entity_means(sums, entity, S.SIZE), "means")
+    means = stored(entity_means(sums, entity), "means")
     return stored(entity_groups(means, entity, GROUPS[entity]), "groups")
 
 
@@ -75,8 +75,9 @@ def kmeans_keywords(spark, folder):
     prepared = prepare(reviews, vocab, vectors, Settings(S.SIZE))
     entity = "business"
     grouped = stored(entity_groups(prepared.businesses, entity, GROUPS[entity]), "groups")
-    counts = spell_words(prepared.counts, vocab)
-    return keywords_per_label(group_keywords(counts, grouped, vocab, entity))
+    codes = vocab.select(F.col("idx").alias("word"))
+    top = group_keywords(prepared.counts, grouped, codes, entity)
+    return keywords_per_label(spell_words(top, vocab))
 
 
 @query("grouped_words")
@@ -96,7 +97,7 @@ def pca_points(spark, folder):
     def points(entity):
         sums = _review_sums(spark, folder, "tfidf")
         rows = learning.with_features(
-            stored(entity_means(sums, entity, S.SIZE), "means"), F.col(f"{entity}_vec")
+            stored(entity_means(sums, entity), "means"), F.col(f"{entity}_vec")
         )
         placed = learning.fit_components(rows, 2).transform(rows)
         both = vector_to_array("components")

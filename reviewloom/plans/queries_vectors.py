@@ -100,7 +100,7 @@ def _register_entity_vectors(entity, mode):
     )
     def entity_vectors(spark, folder):
         sums = _review_sums(spark, folder, mode)
-        return long_vectors(E.entity_means(sums, entity, S.SIZE), [key], f"{entity}_vec")
+        return long_vectors(E.entity_means(sums, entity), [key], f"{entity}_vec")
 
 
 def _register_leave_one_out(mode):
@@ -115,7 +115,7 @@ FROM loo""",
         ),
     )
     def leave_one_out(spark, folder):
-        pairs = E.leave_one_out(_review_sums(spark, folder, mode), S.SIZE)
+        pairs = E.leave_one_out(_review_sums(spark, folder, mode))
         zipped = F.arrays_zip("user_vec", "business_vec")
         rows = pairs.select(*E.REVIEW_KEYS, F.posexplode(zipped).alias("dim", "x"))
         return rows.select(
@@ -139,7 +139,7 @@ FROM rest WHERE {entity}_c > 1""",
     )
     def leave_one_out_side(spark, folder):
         sums = _review_sums(spark, folder, "tfidf")
-        pairs = E.leave_one_out(sums, S.SIZE, [entity])
+        pairs = E.leave_one_out(sums, [entity])
         return long_vectors(pairs, list(E.REVIEW_KEYS), f"{entity}_vec")
 
 
@@ -409,7 +409,8 @@ FROM wl QUALIFY rank <= 500""",
         place = F.col(key) if entity == "user" else F.col("code")
         labelled = coded.withColumn("vec_id", place % number).join(embeddings, "vec_id")
         grouped = stored(labelled.select(key, F.col("label").alias("group")), "groups")
-        return groups.group_keywords(spell_words(counts, vocab), grouped, vocab, entity)
+        codes = vocab.select(F.col("idx").alias("word"))
+        return spell_words(groups.group_keywords(counts, grouped, codes, entity), vocab)
 
 
 for _entity in E.ENTITIES:

@@ -71,12 +71,12 @@ MODES = {
 def test_entity_vectors_and_leave_one_out(spark, counts, vectors, mode):
     sums = E.review_sums(counts, vectors, SIZE, MODES[mode])
     for side, entity in enumerate(E.ENTITIES):
-        means = {r[0]: r[1] for r in E.entity_means(sums, entity, SIZE).collect()}
+        means = {r[0]: r[1] for r in E.entity_means(sums, entity).collect()}
         assert set(means) == {review[side] for review in REVIEWS}
         for key, mean in means.items():
             own = [review for review in REVIEWS if review[side] == key]
             assert mean == pytest.approx(expected_mean(own, side, mode))
-    rows = {r["review_id"]: r for r in E.leave_one_out(sums, SIZE).collect()}
+    rows = {r["review_id"]: r for r in E.leave_one_out(sums).collect()}
     assert set(rows) == {1, 2, 3, 4}  # user 3 has a single review
     for review in REVIEWS[:4]:
         for side, entity in enumerate(E.ENTITIES):
@@ -86,13 +86,14 @@ def test_entity_vectors_and_leave_one_out(spark, counts, vectors, mode):
 
 def test_own_and_others_add_up(spark, counts, vectors):
     sums = E.review_sums(counts, vectors, SIZE)
-    totals = {r["user_id"]: r for r in E.entity_sums(sums, "user", SIZE).collect()}
-    loo = {r["review_id"]: r["user_vec"] for r in E.leave_one_out(sums, SIZE, ["user"]).collect()}
-    for row in sums.collect():
+    totals = {r["user_id"]: r for r in E.entity_sums(sums, "user").collect()}
+    loo = {r["review_id"]: r["user_vec"] for r in E.leave_one_out(sums, ["user"]).collect()}
+    for row in sums.rows.collect():
         if row["review_id"] in loo:
             total = totals[row["user_id"]]
-            others = np.array(loo[row["review_id"]]) * (total["weight"] - row["user_weight"])
-            assert np.array(row["user_vec"]) + others == pytest.approx(np.array(total["vec"]), abs=1e-9)
+            own_weight = row["user_weight"] / total["length"]
+            others = np.array(loo[row["review_id"]]) * (total["weight"] - own_weight)
+            assert np.array(row["vec"]) + others == pytest.approx(np.array(total["vec"]), abs=1e-9)
 
 
 def test_word_level(spark, counts, vectors):
