@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,14 +49,10 @@ def _value_bytes(field: T.StructField):
     return F.lit(8)
 
 
-def _total_bytes(df: DataFrame):
-    row_bytes = sum((_value_bytes(field) for field in df.schema.fields), F.lit(16))
-    return F.sum(row_bytes.cast("bigint")).alias("bytes")
-
-
 def measured_bytes(df: DataFrame) -> int:
     """The size of the rows, added up over a stored table (strings, numbers, vectors)."""
-    return df.agg(_total_bytes(df)).first()["bytes"] or 0
+    row_bytes = sum((_value_bytes(field) for field in df.schema.fields), F.lit(16))
+    return df.agg(F.sum(row_bytes.cast("bigint")).alias("bytes")).first()["bytes"] or 0
 
 
 def lookup(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -69,7 +65,5 @@ def lookup(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def stored_lookup(df: DataFrame, label: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """:func:`stored` and :func:`lookup` in one: the size is added up while writing."""
-    size = Observation()
-    table = stored(df.observe(size, _total_bytes(df)), label)
-    return F.broadcast(table) if (size.get["bytes"] or 0) <= max_bytes else table
+    """:func:`stored` and :func:`lookup` in one."""
+    return lookup(stored(df, label), max_bytes)
