@@ -36,30 +36,55 @@ def _drawn_pairs(rows: DataFrame, total: int, first: int, count: int) -> DataFra
     )
 
 
-def unseen_pairs(seen: DataFrame, order_by: str = "review_id", factor: int = 2) -> DataFrame:
-    """Random pairs that nobody has seen: at least as many as there are seen rows.
+def unseen_pairs(seen: DataFrame, order_by: str = "review_id") -> DataFrame:
+    """As many random pairs that nobody has seen as there are seen rows.
 
     Users and businesses are drawn independently from the rows, so the frequent ones come
-    up more often, and a pair may repeat. Candidates come in rounds of ``factor`` times the
-    rows until enough are left after the anti join; a round is one distributed plan, and
-    only its count returns to the driver.
+    up more often, and a pair may repeat. Candidates are numbered; those that are left
+    after the anti join count in that order. They come in rounds, each one a distributed
+    plan whose size follows from the share of candidates left so far; only counts return
+    to the driver, and the result does not depend on the rounds.
     """
     rows = numbered(seen.select(order_by, *PAIR), [order_by], "row").select("row", *PAIR)
     total = rows.count()
     if total == 0:
         return rows.select(F.col("row").alias("candidate"), *PAIR)
     known = rows.select(*PAIR).distinct()
-    round_size = factor * total
-    kept, have, rounds = None, 0, 0
+    kept, have, drawn, size = None, 0, 0, 2 * total
     while have < total:
-        drawn = _drawn_pairs(rows, total, rounds * round_size, round_size)
-        fresh = stored(drawn.join(known, list(PAIR), "left_anti"), "unseen")
+        candidates = _drawn_pairs(rows, total, drawn, size)
+        fresh = stored(candidates.join(known, list(PAIR), "left_anti"), "unseen")
         found = fresh.count()
         if found == 0 and _all_seen(known):
             raise ValueError("every user has seen every business: there is no unseen pair")
         kept = fresh if kept is None else kept.unionByName(fresh)
-        have, rounds = have + found, rounds + 1
-    return kept.select("candidate", *PAIR)
+        have, drawn = have + found, drawn + size
+        size = math.ceil(1.2 * max(total - have, 0) * drawn / max(have, 1)) + 1000
+    return _first_by(kept.select("candidate", *PAIR), "candidate", total, drawn)
+
+
+# Numbers are counted in so many equal ranges to find where a count is reached.
+_COUNTED_RANGES = 4096
+
+
+def _first_by(rows: DataFrame, number: str, count: int, end: int) -> DataFrame:
+    """The ``count`` rows with the smallest of the different numbers from 0 to ``end``.
+
+    Numbers are counted per range; only the range in which the count is reached is sorted.
+    """
+    width = math.ceil(end / _COUNTED_RANGES)
+    part = F.floor(F.col(number) / width)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    missing = count
+    # At most _COUNTED_RANGES rows.
+    for row in sizes.orderBy("part").collect():
+        if row["n"] >= missing:
+            inside = rows.where(part == row["part"]).select(number)
+            first = inside.orderBy(number).limit(missing)
+            last = first.agg(F.max(number).alias("last")).first()["last"]
+            return rows.where(F.col(number) <= last)
+        missing -= row["n"]
+    return rows
 
 
 def _all_seen(known: DataFrame) -> bool:

@@ -200,26 +200,31 @@ FROM rest WHERE user_c > 1 AND business_c > 1""",
 
 
 def unseen(seen: str, order_by: str) -> dict[str, str]:
-    """``unseen``: rounds of twice the rows, until at least as many pairs as rows are left."""
+    """``unseen``: as many pairs as there are rows, in the order of the candidates.
+
+    ``accepted`` is the share of candidates that is expected to be left.
+    """
     return {
         "seen_rows": f"""
 SELECT row_number() OVER (ORDER BY {order_by}) - 1 AS row, user_id, business_id FROM {seen}""",
         "seen_n": "SELECT count(*) AS n FROM seen_rows",
+        "accepted": """
+SELECT 1 - sum(cu::double * cb) / (any_value(n)::double * any_value(n)) AS share
+FROM (SELECT DISTINCT user_id, business_id FROM seen_rows)
+JOIN (SELECT user_id, count(*) AS cu FROM seen_rows GROUP BY user_id) USING (user_id)
+JOIN (SELECT business_id, count(*) AS cb FROM seen_rows GROUP BY business_id)
+  USING (business_id), seen_n""",
         "draws": f"""
-SELECT candidate, candidate // (2 * n) AS round,
-       {spread_hash('candidate', 'u')} % n AS user_row,
+SELECT candidate, {spread_hash('candidate', 'u')} % n AS user_row,
        {spread_hash('candidate', 'b')} % n AS business_row
-FROM (SELECT unnest(range(2 * n * 8)) AS candidate, n FROM seen_n)""",
+FROM (SELECT unnest(range((1.5 * n / share)::bigint + 1000)) AS candidate, n
+      FROM seen_n, accepted)""",
         "fresh": """
-SELECT d.candidate, d.round, u.user_id, b.business_id
+SELECT d.candidate, u.user_id, b.business_id
 FROM draws d JOIN seen_rows u ON d.user_row = u.row
              JOIN seen_rows b ON d.business_row = b.row
 ANTI JOIN seen_rows s ON u.user_id = s.user_id AND b.business_id = s.business_id""",
-        "rounds": """
-SELECT round, coalesce(sum(found) OVER (ORDER BY round
-         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-FROM (SELECT round, count(*) AS found FROM fresh GROUP BY round)""",
         "unseen": """
-SELECT f.candidate, f.user_id, f.business_id
-FROM fresh f JOIN rounds r ON f.round = r.round, seen_n WHERE r.before < seen_n.n""",
+SELECT candidate, user_id, business_id FROM fresh
+QUALIFY row_number() OVER (ORDER BY candidate) <= (SELECT n FROM seen_n)""",
     }
