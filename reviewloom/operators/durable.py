@@ -65,5 +65,11 @@ def lookup(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def stored_lookup(df: DataFrame, label: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """:func:`stored` and :func:`lookup` in one."""
+    """:func:`stored` and :func:`lookup` in one.
+
+    Totals that are joined back to the rows they came from go through here as well. Were
+    the aggregate part of the same plan, the join would use its partitioning as it is, and
+    adaptive execution could not split the partition of a hot key; a written table gets a
+    shuffle of its own, which it can.
+    """
     return lookup(stored(df, label), max_bytes)

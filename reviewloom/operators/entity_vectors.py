@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions import vectors as V
-from reviewloom.operators.durable import lookup, stored
+from reviewloom.operators.durable import lookup, stored, stored_lookup
 from reviewloom.operators.tfidf import document_lengths, raw_weights, weigh
 
 ENTITIES = ("user", "business")
@@ -181,7 +181,7 @@ def leave_one_out(sums: ReviewSums, sides: Sequence[str] = ENTITIES) -> DataFram
             "_all", sums.vector(entity), lambda x, own: F.try_divide(x - own, F.col("_rest"))
         )
         rows = (
-            rows.join(totals, key)
+            rows.join(stored_lookup(totals, f"{entity}-totals"), key)
             .withColumn("_rest", other_weight)
             .withColumn(f"{entity}_vec", others)
             .drop("_all", "_all_weight", "_length", "_rest", f"{entity}_weight")

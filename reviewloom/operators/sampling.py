@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.operators.durable import stored
+from reviewloom.operators.durable import stored, stored_lookup
 from reviewloom.operators.ordering import numbered
 
 PAIR = ("user_id", "business_id")
@@ -49,7 +49,7 @@ def unseen_pairs(seen: DataFrame, order_by: str = "review_id") -> DataFrame:
     total = rows.count()
     if total == 0:
         return rows.select(F.col("row").alias("candidate"), *PAIR)
-    known = rows.select(*PAIR).distinct()
+    known = stored_lookup(rows.select(*PAIR).distinct(), "known")
     kept, have, drawn, size = None, 0, 0, 2 * total
     while have < total:
         candidates = _drawn_pairs(rows, total, drawn, size)

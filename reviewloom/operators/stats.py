@@ -1,7 +1,7 @@
 """Statistics per group attached to every row, interaction metrics, and scores.
 
 A group may hold a large part of all rows, so groups are never gathered: their totals are
-aggregates (partial sums before the shuffle) that are joined back to the rows.
+aggregates (partial sums before the shuffle), written and joined back to the rows.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.vectors import zero_if_not_finite
+from reviewloom.operators.durable import stored, stored_lookup
 from reviewloom.operators.ordering import running_sums
 
 
@@ -26,7 +27,7 @@ def _with_group_totals(rows: DataFrame, group: str, number: str) -> DataFrame:
             F.count(value).alias("_values"),
         )
     )
-    return rows.join(totals, group, "left")
+    return rows.join(stored_lookup(totals, "totals"), group, "left")
 
 
 def _drop_totals(rows: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def interaction_histogram(
     The largest size belongs to the last bin; if all sizes are equal, the bins span one
     unit around them. Bins without entities are not listed.
     """
-    sizes = _size_frequencies(rows, entity, other)
+    sizes = stored(_size_frequencies(rows, entity, other), "sizes")
     smallest = sizes.agg(F.min("size")).scalar()
     largest = sizes.agg(F.max("size")).scalar()
     from_smallest = (F.col("size") - F.col("_low")) * F.lit(bins)

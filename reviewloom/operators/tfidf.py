@@ -6,6 +6,8 @@ The weight of a word in a document is ``r / sqrt(sum of r * r in the document)``
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +56,8 @@ def document_lengths(raw: DataFrame, key: str) -> DataFrame:
 def weigh(counts: DataFrame, key: str, documents: DataFrame | None = None) -> DataFrame:
     """Add ``df`` and ``weight`` to the stored table ``key``, ``word``, ``tf``."""
     raw = raw_weights(counts, key, documents)
-    return raw.join(document_lengths(raw, key), key).select(
+    lengths = stored_lookup(document_lengths(raw, key), "lengths")
+    return raw.join(lengths, key).select(
         key, "word", "tf", "df", (F.col("r") / F.col("length")).alias("weight")
     )
 
@@ -88,7 +91,7 @@ def label_weights_averaged(
         .groupBy(label, "word")
         .agg(F.sum("weight").alias("total"))
     )
-    sizes = rows.groupBy(label).agg(F.count("*").alias("rows"))
+    sizes = stored_lookup(rows.groupBy(label).agg(F.count("*").alias("rows")), "sizes")
     return sums.join(sizes, label).select(
         label, "word", (F.col("total") / F.col("rows")).alias("weight")
     )
@@ -137,6 +140,14 @@ def word_labels(
     )
 
 
+def word_label_table(
+    word_label: DataFrame, weights: DataFrame, label: str, labels: Sequence[str]
+) -> DataFrame:
+    """:func:`word_labels` with one more column per given label: the weight there, or 0."""
+    wide = weights.groupBy("word").pivot(label, list(labels)).agg(F.first("weight"))
+    return word_label.join(wide, "word", "left").na.fill(0.0, list(labels))
+
+
 def top_words(word_label: DataFrame, top: int = 500) -> DataFrame:
     """The ``top`` words of widest spread with their rank; ties go by the word.
 

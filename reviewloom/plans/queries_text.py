@@ -394,6 +394,40 @@ def word_label(spark, folder):
     return labels.withColumn("stdev", rounded("stdev"))
 
 
+_LANGS = ("de", "en", "es", "fr")
+
+
+@query(
+    "word_label_table",
+    S.with_parts(
+        _LANG_JOINED | word_label_parts("lang", "doc_id", "documents", "w"),
+        "SELECT wl.word, arg_position, arg_label, "
+        + f"{S.r6('stdev')} AS stdev, "
+        + ", ".join(
+            S.r6(f"coalesce(sum(weight) FILTER (lang = '{lang}'), 0.0)") + f" AS {lang}"
+            for lang in _LANGS
+        )
+        + " FROM wl LEFT JOIN w ON wl.word = w.word"
+        + " GROUP BY wl.word, arg_position, arg_label, stdev",
+    ),
+)
+def word_label_table(spark, folder):
+    vocab = document_vocabulary(spark, folder)
+    documents = tables.documents(spark, folder)
+    weights = stored(
+        tfidf.label_weights_joined(documents, "lang", "text", vocab), "label-weights"
+    )
+    positions = stored(tfidf.label_positions(documents, "lang", "doc_id"), "positions")
+    labels = tfidf.word_labels(weights, "lang", positions, vocab)
+    wide = tfidf.word_label_table(labels, weights, "lang", _LANGS)
+    return wide.select(
+        "word",
+        "arg_position",
+        "arg_label",
+        *[rounded(name).alias(name) for name in ("stdev", *_LANGS)],
+    )
+
+
 @query(
     "word_label_mean",
     S.with_parts(
