@@ -119,6 +119,10 @@ _AT_RE, _DOT_RE = re.compile(rf"(?i){_AT}"), re.compile(rf"(?i){_DOT}")
 _AT_SIGN = re.compile(r"(?i)[(\[{<][\x20\t]*(?:at|@)[\x20\t]*[)\]}>]|[\x20\t]at[\x20\t]|[\x20\t]@|@[\x20\t]")
 _DOT_SIGN = re.compile(r"(?i)[(\[{<][\x20\t]*(?:dot|\.)[\x20\t]*[)\]}>]|[\x20\t]dot[\x20\t]|\.")
 _DOT_IP = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
+# Domain endings that are no common words. The bare word "at" needs one of them.
+ENDINGS = frozenset(
+    "com org net edu gov mil info biz io dev app co uk de fr es nl eu ca au jp ch se pl pt br".split()
+)
 _ENDING = re.compile(r"(?i)[a-z]{2,24}\Z")
 
 
@@ -186,7 +190,7 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
             # The word "at" alone needs a "dot" in disguise behind it: "at noon. Then" has none.
             if (bare or "@" in found.group(1)) and not worded and (bare or found.group(1) == "@"):
                 continue
-            if not _ENDING.search(last):
+            if not _ENDING.search(last) or bare and last.lower() not in ENDINGS:
                 continue
             for dot in _DOT_RE.finditer(text, found.start(), found.end()):
                 if dot.group() != "." and not (at[0] <= dot.start() < at[1]):

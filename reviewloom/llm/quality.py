@@ -28,7 +28,7 @@ _CAPITAL = re.compile(rb"[A-Z]+")
 _MARKS = bytes(sorted(set(range(256)) - set(b"!?")))
 _DIGITS = bytes(sorted(set(range(256)) - set(b"0123456789")))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MORE = ("n_lines", "n_distinct_words", "n_capitals", "n_marks", "n_digits")
+MORE = ("n_lines", "n_capitals", "n_marks", "n_digits")
 
 
 def _repeated(words: list[bytes]) -> int:
@@ -66,7 +66,6 @@ def text_counts(text: str) -> tuple[int, ...]:
         sum(n - 1 for n in Counter(lines).values()),
         _repeated(words),
         len(lines),
-        len(set(words)),
         sum(map(len, _CAPITAL.findall(raw))),
         len(raw.translate(None, _MARKS)),
         len(raw.translate(None, _DIGITS)),
@@ -92,15 +91,16 @@ def _share(part: str, whole: str) -> Column:
 
 
 def features() -> dict[str, Column]:
-    """What the rules speak of: figures that do not depend on the length of a text, and it."""
+    """What the rules speak of: figures that do not move with the length of a text.
+
+    The share of distinct words does, and would make rules against long clean texts.
+    """
     return {
-        "words": F.col("n_words").cast("double"),
         "chars_per_word": _share("word_chars", "n_words"),
         "symbols_per_word": _share("n_symbols", "n_words"),
         "marks_per_word": _share("n_marks", "n_words"),
         "repeated_words": _share("n_repeat_words", "n_words"),
         "repeated_lines": _share("n_dup_lines", "n_lines"),
-        "distinct_words": _share("n_distinct_words", "n_words"),
         "capitals": _share("n_capitals", "word_chars"),
         "digits": _share("n_digits", "word_chars"),
         "words_per_line": _share("n_words", "n_lines"),
