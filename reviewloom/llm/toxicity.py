@@ -36,7 +36,7 @@ STEM = 5
 @dataclass(frozen=True)
 class Settings:
     bits: int = 18
-    max_labelled: int = 16_000  # the bound of the sample of labelled rows
+    max_labelled: int = 8_000  # the bound of the sample of labelled rows
     shard_rows: int = 4_000  # labelled rows that one task learns from, about
     rounds: int = 4
     alpha: float = 0.5
@@ -96,13 +96,25 @@ def learn(texts: list[np.ndarray], labels: np.ndarray, z: np.ndarray, n: np.ndar
         n[at] = grown
 
 
-def _shard(state: Broadcast, s: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        z, n = (x.copy() for x in state.value)
-        frame = frame.sort_values("turn", kind="stable")
-        learn([np.asarray(x) for x in frame["at"]], frame["y"].to_numpy(), z, n, s)
-        at = np.flatnonzero(n)
-        return pd.DataFrame({"at": at, "z": z[at], "n": n[at]})
+def _packed(frame: pd.DataFrame) -> pd.DataFrame:
+    """A shard as one row, in the order of the hash: it is then read again, not shuffled."""
+    frame = frame.sort_values("turn", kind="stable")
+    texts = [np.asarray(x, np.int32) for x in frame["at"]]
+    ends = np.cumsum([len(x) for x in texts]).astype(np.int64)
+    at, y = np.concatenate(texts), frame["y"].to_numpy(np.int64)
+    return pd.DataFrame({"at": [at.tobytes()], "ends": [ends.tobytes()], "y": [y.tobytes()]})
+
+
+def _shard(state: Broadcast, s: Settings) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                z, n = (x.copy() for x in state.value)
+                ends = np.frombuffer(row.ends, np.int64)
+                texts = np.split(np.frombuffer(row.at, np.int32), ends[:-1])
+                learn(texts, np.frombuffer(row.y, np.int64), z, n, s)
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({"at": at, "z": z[at], "n": n[at]})
 
     return run
 
@@ -127,14 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, s:
 
     rows = stored(by_batch(sample, featured, "turn bigint, y bigint, at array<int>"), "labelled")
     shards = max(1, math.ceil(rows.count() / s.shard_rows))
-    rows = rows.withColumn("shard", F.pmod("turn", F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod("turn", F.lit(shards))).groupBy("shard")
+    rows = stored(rows.applyInPandas(_packed, "at binary, ends binary, y binary"), "shards")
     size = 1 << s.bits
     z, n = np.zeros(size, np.float64), np.zeros(size, np.float64)
     for _ in range(s.rounds):
         state = docs.sparkSession.sparkContext.broadcast((z, n))
-        learned = rows.groupBy("shard").applyInPandas(
-            _shard(state, s), "at bigint, z double, n double"
-        )
+        learned = rows.mapInPandas(_shard(state, s), "at bigint, z double, n double")
         # One row per place: bounded by the number of places, whatever the corpus.
         summed = learned.groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
         z, n = np.zeros(size), np.zeros(size)
