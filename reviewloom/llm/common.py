@@ -58,6 +58,12 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, so that few rows at a time stand in Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def by_batch(
     df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str
 ) -> DataFrame:
@@ -69,8 +75,8 @@ def by_batch(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = function(batch.to_pydict())
+            for part in parts(batch):
+                found = function(part.to_pydict())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found[f.name], f.type) for f in target], schema=target
                 )

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import by_batch, same, text_of
+from reviewloom.llm.common import by_batch, parts, same, text_of
 from reviewloom.operators.durable import stored
 
 WINDOW, PACKET = 2048, 512
 END_ID = 1
 # Rows of a queue in one bucket, about; rounds in one bucket; buckets that are added up at once.
 _QUEUE, _ROUNDS, _UPPER = 10_000, 256, 4096
-_CACHE = 1_000_000
+_CACHE = 200_000
 
 
 class Encoder:
@@ -221,6 +221,23 @@ def layout(
     )
 
 
+def _pieces(rows: list[dict]) -> pa.RecordBatch:
+    names = ("id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+    found = {name: [] for name in names}
+    for row in rows:
+        own = np.frombuffer(row["ids"], f"<u{len(row['ids']) // row['n']}")
+        for c in row["cuts"]:
+            found["id"].append(row["id"])
+            found["ids"].append(own[c["start"] : c["start"] + c["length"]].astype("<u4").tobytes())
+            found["doc_tokens"].append(row["n"])
+            for name in ("start", "length", "sequence_id", "offset"):
+                found[name].append(c[name])
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(found[name], kind) for name, kind in zip(names, kinds, strict=True)], names=list(names)
+    )
+
+
 def packed(
     docs: DataFrame,
     tokenizer: str,
@@ -257,17 +274,8 @@ def packed(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {name: [] for name in ("id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
-            for row in batch.to_pylist():
-                width = len(row["ids"]) // row["n"]
-                own = np.frombuffer(row["ids"], f"<u{width}")
-                for c in row["cuts"]:
-                    rows["id"].append(row["id"])
-                    rows["ids"].append(own[c["start"] : c["start"] + c["length"]].astype("<u4").tobytes())
-                    rows["doc_tokens"].append(row["n"])
-                    for name in ("start", "length", "sequence_id", "offset"):
-                        rows[name].append(c[name])
-            yield pa.RecordBatch.from_pydict(rows)
+            for part in parts(batch, 128):
+                yield _pieces(part.to_pylist())
 
     found = joined.mapInArrow(cut, out)
     return found.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", key)

@@ -21,14 +21,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import by_batch, text_of
+from reviewloom.llm.common import by_batch, parts, text_of
 from reviewloom.operators.durable import stored
 
 # Punctuation does not belong to words here: "word," and "word" are one feature.
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _LOW = np.uint64(0xFFFFFFFF)
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_CACHE = 500_000
+_CACHE = 200_000
 # Inflected words share a stem: their first letters.
 STEM = 5
 
@@ -204,8 +204,9 @@ def without_toxic(
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(text).to_pylist()]
-            found = score_texts(texts, weights.value, settings.bits)
-            yield batch.filter(pa.array([score < most for score in found], pa.bool_()))
+            for part in parts(batch):
+                texts = [x or "" for x in part.column(text).to_pylist()]
+                found = score_texts(texts, weights.value, settings.bits)
+                yield part.filter(pa.array([score < most for score in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
