@@ -124,6 +124,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
     Of rows that share a key all stay or go together; rows with a null key stay only if
     nothing with a key is near.
     """
-    found = near_copies(docs, key, text, most).select(F.col(key).alias("_id"), "component_id")
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col("_id"))).select("_id").distinct()
-    return docs.join(gone, docs[key].eqNullSafe(F.col("_id")), "left_anti")
+    found = near_copies(docs, key, text, most).select(F.col(key).alias("id"), "component_id")
+    gone = found.where(~F.col("component_id").eqNullSafe(F.col("id"))).select("id").distinct()
+    return docs.join(gone, docs[key].eqNullSafe(gone["id"]), "left_anti")

@@ -43,6 +43,7 @@ class Settings:
     beta: float = 1.0
     l1: float = 8.0
     l2: float = 1.0
+    prior: float = -1.0  # the constant before any label: toxic texts are the fewer ones
 
 
 class _Hashes(dict):
@@ -82,7 +83,9 @@ def _sigmoid(x: float) -> float:
 
 
 def weights_of(z: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
+    """Weights of some places, the constant first: it is not shrunk by the L1 term."""
     shrunk = np.sign(z) * np.maximum(np.abs(z) - s.l1, 0)
+    shrunk[0] = z[0]
     return -shrunk / ((s.beta + np.sqrt(n)) / s.alpha + s.l2)
 
 
@@ -143,11 +146,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, s:
     rows = stored(rows.applyInPandas(_packed, "at binary, ends binary, y binary"), "shards")
     size = 1 << s.bits
     z, n = np.zeros(size, np.float64), np.zeros(size, np.float64)
+    z[0] = -s.prior * (s.beta / s.alpha + s.l2)
     for _ in range(s.rounds):
         state = docs.sparkSession.sparkContext.broadcast((z, n))
         learned = rows.mapInPandas(_shard(state, s), "at bigint, z double, n double")
         # One row per place: bounded by the number of places, whatever the corpus.
         summed = learned.groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
+        if not summed.num_rows:
+            break
         z, n = np.zeros(size), np.zeros(size)
         at = summed["at"].to_numpy()
         z[at], n[at] = summed["z"].to_numpy() / shards, summed["n"].to_numpy() / shards
@@ -175,7 +181,7 @@ def scores(
     """``key`` and ``score`` (0 to 1) of every document, learned from ``labels``.
 
     Edges: null and empty texts get the score of the constant; without any labelled row
-    every score is 0.5; rows that share a key are scored one by one; an empty table gives
+    every score is that of the prior; rows that share a key are scored one by one; an empty table gives
     no rows.
     """
     s = settings or Settings()
