@@ -101,7 +101,8 @@ def review_sums(
     counts: DataFrame, vectors: DataFrame, size: int, weighting: Weighting = Weighting()
 ) -> ReviewSums:
     """Per review the sum of its words' vectors, and per side of their weights."""
-    weighed = counts.where(F.col("user_id").isNotNull() & F.col("business_id").isNotNull())
+    # A review counts for each side whose id it has, whatever the other id is.
+    weighed = counts.where(F.col("user_id").isNotNull() | F.col("business_id").isNotNull())
     lengths: dict[str, DataFrame] = {}
     if weighting.with_tfidf:
         for entity in ENTITIES:
@@ -109,7 +110,7 @@ def review_sums(
             raw = raw_weights(_entity_words(counts, entity), key)
             lengths[entity] = stored(document_lengths(raw, key), f"{entity}-lengths")
             weighed = weighed.join(
-                raw.select(key, "word", F.col("r").alias(f"{entity}_r")), [key, "word"]
+                raw.select(key, "word", F.col("r").alias(f"{entity}_r")), [key, "word"], "left"
             )
         times = {entity: F.col("n") * F.col(f"{entity}_r") for entity in ENTITIES}
     else:
@@ -139,7 +140,7 @@ def entity_sums(sums: ReviewSums, entity: str) -> DataFrame:
     ``length`` is what the weight of each single review still has to be divided by.
     """
     key = f"{entity}_id"
-    totals = sums.rows.groupBy(key).agg(
+    totals = sums.rows.where(F.col(key).isNotNull()).groupBy(key).agg(
         vector_sums(sums.size, sums.vector(entity)).alias("vec"),
         F.sum(f"{entity}_weight").alias("weight"),
         F.count("*").alias("reviews"),
@@ -163,7 +164,7 @@ def leave_one_out(sums: ReviewSums, sides: Sequence[str] = ENTITIES) -> DataFram
     Reviews whose user or business has no other review are dropped, by the number of
     reviews rather than by a difference of sums that may leave a rounding error.
     """
-    rows = sums.rows
+    rows = sums.rows.where(F.col("user_id").isNotNull() & F.col("business_id").isNotNull())
     for entity in sides:
         key = f"{entity}_id"
         totals = (

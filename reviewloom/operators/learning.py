@@ -27,10 +27,11 @@ def train_word_vectors(
     window: int = 3,
     min_count: int = 1,
     seed: int = 1,
-    partitions: int = 1,
-    iterations: int = 1,
+    partitions: int | None = None,
+    iterations: int = 5,
 ) -> Word2VecModel:
-    """Word vectors from a column of word lists."""
+    """Word vectors from a column of word lists, by default in as many tasks as there are cores."""
+    partitions = partitions or texts.sparkSession.sparkContext.defaultParallelism
     trainer = Word2Vec(
         vectorSize=size,
         windowSize=window,

@@ -124,7 +124,8 @@ def _held_out_sizes(rows: DataFrame, label: str, share: float) -> dict:
     wanted = math.ceil(round(total * share, 9))
     exact = {y: wanted * n / total for y, n in sizes.items()}
     parts = {y: math.floor(part) for y, part in exact.items()}
-    by_remainder = sorted(exact, key=lambda y: (parts[y] - exact[y], y))
+    # The null class comes last among equals.
+    by_remainder = sorted(exact, key=lambda y: (parts[y] - exact[y], y is None, y))
     for y in by_remainder[: wanted - sum(parts.values())]:
         parts[y] += 1
     return parts
@@ -143,34 +144,36 @@ def stratified_split(
     parts = _held_out_sizes(rows, label, share)
     if not parts:
         return rows.withColumn("held_out", F.lit(False))
-    hashed = rows.withColumn("_hash", spread_hash(F.col(key), "split"))
-    keys = hashed.select(label, key, "_hash").withColumn(
+    # Null is a class like any other, so the joins go by a name that is never null.
+    named = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("null"))
+    hashed = rows.withColumn("_hash", spread_hash(F.col(key), "split")).withColumn("_class", named)
+    keys = hashed.select(label, "_class", key, "_hash").withColumn(
         "_range", F.shiftright("_hash", _RANGE_BITS)
     )
-    wanted = F.coalesce(*[F.when(F.col(label) == y, n) for y, n in parts.items()])
-    before = Window.partitionBy(label).orderBy("_range").rowsBetween(
+    wanted = F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(y)), n) for y, n in parts.items()])
+    before = Window.partitionBy("_class").orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
     # At most _RANGES rows per class.
     ranges = (
-        keys.groupBy(label, "_range")
+        keys.groupBy(label, "_class", "_range")
         .agg(F.count("*").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .withColumn("_missing", wanted - F.col("_before"))
         .where((F.col("_missing") > 0) & (F.col("_missing") <= F.col("_n")))
-        .select(label, "_range", "_missing")
+        .select("_class", "_range", "_missing")
     )
-    in_range = Window.partitionBy(label).orderBy("_hash", key)
+    in_range = Window.partitionBy("_class").orderBy("_hash", key)
     # One row per class.
     last = (
-        keys.join(F.broadcast(ranges), [label, "_range"])
+        keys.join(F.broadcast(ranges), ["_class", "_range"])
         .withColumn("_place", F.row_number().over(in_range))
         .where(F.col("_place") == F.col("_missing"))
-        .select(label, F.struct("_hash", F.col(key).alias("_key")).alias("_last"))
+        .select("_class", F.struct("_hash", F.col(key).alias("_key")).alias("_last"))
     )
     own = F.struct("_hash", F.col(key).alias("_key"))
     return (
-        hashed.join(F.broadcast(last), label, "left")
+        hashed.join(F.broadcast(last), "_class", "left")
         .withColumn("held_out", F.coalesce(own <= F.col("_last"), F.lit(False)))
-        .drop("_hash", "_last")
+        .drop("_hash", "_last", "_class")
     )

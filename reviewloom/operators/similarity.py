@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def centres(points: DataFrame, label: str, vector: str, size: int) -> DataFrame:
 
 
 # So many centres fit into one array that every task holds.
-MAX_CENTRES = 10_000
+CENTRES_IN_BLOCK = 10_000
 
 
 def nearest_centre(
@@ -56,13 +58,11 @@ def nearest_centre(
 ) -> DataFrame:
     """Add the label of the nearest centre (squared Euclidean distance; ties: smallest).
 
-    The centres are few by nature, one per group that was asked for; they reach the tasks
-    as a single array. More than ``MAX_CENTRES`` are refused.
+    The centres reach the tasks in blocks, each a single array of about
+    ``CENTRES_IN_BLOCK``; the nearest of the blocks' nearest counts.
     """
-    number = centre_vectors.limit(MAX_CENTRES + 1).count()
-    if number > MAX_CENTRES:
-        raise ValueError(f"more than {MAX_CENTRES} centres")
-    gathered = centre_vectors.agg(F.collect_list(F.struct("centre", "vec")))
+    blocks = max(1, math.ceil(centre_vectors.count() / CENTRES_IN_BLOCK))
+    block = F.pmod(F.xxhash64("centre"), F.lit(blocks))
     point = F.col(vector)
 
     def distance(centre):
@@ -72,9 +72,10 @@ def nearest_centre(
             centre["centre"].alias("centre"),
         )
 
-    nearest = F.array_min(F.transform(F.col("_centres"), distance))
-    return (
-        points.withColumn("_centres", gathered.scalar())
-        .withColumn(name, nearest["centre"])
-        .drop("_centres")
-    )
+    found = points
+    for number in range(blocks):
+        gathered = centre_vectors.where(block == number).agg(F.collect_list(F.struct("centre", "vec")))
+        best = F.array_min(F.transform(F.col("_centres"), distance))
+        best = F.least("_nearest", best) if number else best
+        found = found.withColumn("_centres", gathered.scalar()).withColumn("_nearest", best)
+    return found.withColumn(name, F.col("_nearest.centre")).drop("_centres", "_nearest")

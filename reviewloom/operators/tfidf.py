@@ -117,15 +117,19 @@ def word_labels(
     """
     labels = positions.agg(F.count("*")).scalar()
     placed = weights.join(lookup(positions), label)
-    mean = F.sum("weight") / labels
-    square = F.sum(F.col("weight") * F.col("weight")) / labels
+    # The variance of the labels with the word, and what the zeros of the others add to it:
+    # no difference of large sums, so equal weights have no spread at all.
+    present = F.count("weight")
+    absent = (labels - present) / F.lit(labels)
+    between = present * absent * F.avg("weight") * F.avg("weight")
+    variance = (present * F.var_pop("weight") + between) / labels
     strongest = F.max_by(
         F.struct("position", F.col(label).alias("label")),
         F.struct(F.round("weight", 9), -F.col("position")),
     )
     known = placed.groupBy("word").agg(
         strongest.alias("best"),
-        F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("stdev"),
+        F.sqrt(variance).alias("stdev"),
     )
     first = positions.where(F.col("position") == 0).select(label).scalar()
     return (

@@ -43,7 +43,7 @@ def lr_auc(spark, folder):
 def mlp_scores(spark, folder):
     """Validation rows with the score of the neural network."""
     prepared, settings = _prepared(spark, folder)
-    scored = deep_learning(prepared, settings, max_iter=20)
+    scored = deep_learning(prepared, settings)
     return scored.select("key", "user_id", "business_id", "y", "score", "predicted")
 
 

@@ -156,8 +156,8 @@ def recipe_words(spark, folder):
     "picture_words",
     """
 SELECT p_partkey, concat(CASE WHEN p_size % 3 <> 0 THEN p_name ELSE '' END, ' ',
-         array_to_string(string_split(p_name, ' ')[1:1], ' '), ' ',
-         array_to_string(string_split(lower(p_brand), '#')[1:1], ' ')) AS review_text,
+         array_to_string(string_split(p_name, ' ')[1:10], ' '), ' ',
+         array_to_string(string_split(lower(p_brand), '#')[1:10], ' ')) AS review_text,
        concat('https://lh5.googleusercontent.com/p/', p_type) AS link
 FROM part""",
 )
@@ -169,7 +169,7 @@ def picture_words(spark, folder):
         F.array(F.split("p_name", " "), F.split(F.lower("p_brand"), "#")).alias("tags"),
         T.picture_link(F.col("p_type")).alias("link"),
     )
-    return reviews_source.with_picture_words(tagged, "tags", top=1).drop("tags")
+    return reviews_source.with_picture_words(tagged, "tags", top=10).drop("tags")
 
 
 _NEGATIONS = (

@@ -8,7 +8,7 @@ from __future__ import annotations
 from reviewloom.functions.fixed_values import PUNCTUATION, STOP_WORDS
 from reviewloom.functions.text import WORD_PATTERN
 
-MIN_DF = 5
+MIN_DF = 1
 SIZE = 64
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions import vectors as V
 from reviewloom.operators import entity_vectors as E
 from reviewloom.operators import groups, learning, sampling, similarity, stats, tfidf
+from reviewloom.operators.durable import stored
 
 SIZE = 3
 REVIEWS = [  # user, business, review, words
@@ -136,11 +137,50 @@ def test_analogy(spark):
     assert similarity.analogy(vectors, "man", "king", "nobody", 2).collect() == []
 
 
-def test_nearest_centre_refuses_too_many(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "MAX_CENTRES", 1)
-    points = spark.createDataFrame([(1, [0.0])], "centre int, vec array<double>")
-    with pytest.raises(ValueError):
-        similarity.nearest_centre(points, "vec", points.unionByName(points))
+@pytest.mark.parametrize("in_block", [1, 3, 100])
+def test_nearest_centre_over_blocks(spark, monkeypatch, in_block):
+    monkeypatch.setattr(similarity, "CENTRES_IN_BLOCK", in_block)
+    centres = spark.createDataFrame([(n, [float(10 * n)]) for n in range(8)], "centre int, vec array<double>")
+    points = spark.createDataFrame([(n, [10.0 * n + 4]) for n in range(8)], "id int, point array<double>")
+    rows = similarity.nearest_centre(points, "point", centres).collect()
+    assert {r["id"]: r["centre"] for r in rows} == {n: n for n in range(8)}
+
+
+def test_split_with_a_null_class(spark):
+    rows = [(n, [None, "a", "b"][n % 3]) for n in range(120)]
+    table = spark.createDataFrame(rows, "id int, y string")
+    held = sampling.stratified_split(table, "y", "id").where("held_out").groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in held} == {None: 10, "a": 10, "b": 10}
+
+
+def test_a_review_without_partner_counts_for_its_own_side(spark):
+    counts = spark.createDataFrame(
+        [(1, "x", 1, 0, 1), (1, None, 2, 1, 1), (1, "x", 3, 0, 1), (None, "x", 4, 1, 1)],
+        "user_id int, business_id string, review_id int, word int, n int",
+    )
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "word int, vec array<double>")
+    for plain in (True, False):
+        sums = E.review_sums(counts, vectors, 2, E.Weighting(with_tfidf=not plain))
+        found = {e: E.entity_means(sums, e).collect() for e in ("user", "business")}
+        if plain:
+            for rows in found.values():
+                assert rows[0][1] == pytest.approx([2 / 3, 1 / 3])
+        assert all(len(rows) == 1 and rows[0][1][1] > 0 for rows in found.values())
+        left = E.leave_one_out(sums).collect()
+        assert sorted(r["review_id"] for r in left) == [1, 3]
+
+
+def test_spread_of_equal_weights_is_nothing(spark):
+    flat = [("flat", f"l{n}", 0.3) for n in range(7)]
+    bent = [("bent", f"l{n}", 0.3 + (1e-9 if n == 3 else 0)) for n in range(7)]
+    one = [("one", "l2", 1.0)]
+    weights = spark.createDataFrame(flat + bent + one, "word string, label string, weight double")
+    positions = spark.createDataFrame([(f"l{n}", n) for n in range(7)], "label string, position bigint")
+    words = spark.createDataFrame([("flat",), ("bent",), ("one",), ("none",)], "word string")
+    found = {r["word"]: r["stdev"] for r in tfidf.word_labels(weights, "label", stored(positions, "p"), words).collect()}
+    assert found["flat"] == found["none"] == 0
+    assert found["bent"] == pytest.approx(1e-9 * np.sqrt(6) / 7, rel=1e-3)
+    assert found["one"] == pytest.approx(np.sqrt(6) / 7)
 
 
 def test_unseen_pairs(spark):
