@@ -65,13 +65,12 @@ def _register_word_level(entity, with_tfidf):
     @query(
         f"word_level_{entity}" + ("" if with_tfidf else "_plain"),
         S.with_parts(
-            S.kept() | S.vectors() | (S.entity_weights(entity) if with_tfidf else {}),
+            S.kept() | S.vector_ends() | (S.entity_weights(entity) if with_tfidf else {}),
             f"""
 SELECT c.{key}, c.review_id, c.word, c.n, {S.r6(weight)} AS weight,
-       {S.r6('a.x')} AS first, {S.r6('b.x')} AS last
+       {S.r6('e.first')} AS first, {S.r6('e.last')} AS last
 FROM counts c {join}
-JOIN vec a ON c.word = a.word AND a.dim = 0
-JOIN vec b ON c.word = b.word AND b.dim = {S.SIZE - 1}""",
+JOIN ends e ON c.word = e.word""",
         ),
     )
     def word_level(spark, folder):

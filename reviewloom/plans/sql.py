@@ -87,6 +87,16 @@ FROM vocab v JOIN embeddings e
     }
 
 
+def vector_ends() -> dict[str, str]:
+    """``ends``: the first and the last component of each word's vector."""
+    return {
+        "ends": f"""
+SELECT v.word, e.embedding[1]::double AS first, e.embedding[{SIZE}]::double AS last
+FROM vocab v JOIN embeddings e
+  ON e.vec_id = v.idx % (SELECT count(*) FROM embeddings)"""
+    }
+
+
 def occurrences() -> dict[str, str]:
     """``counts0``: usable words per review before the clean-up."""
     return vocabulary() | {
