@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.operators.durable import stored, stored_lookup
-from reviewloom.operators.ordering import numbered
+from reviewloom.operators.durable import lookup, stored, stored_lookup
+from reviewloom.operators.ordering import numbered, running_sums
 
 PAIR = ("user_id", "business_id")
 
@@ -36,33 +36,98 @@ def _drawn_pairs(rows: DataFrame, total: int, first: int, count: int) -> DataFra
     )
 
 
+# Below this share of candidates left, dense tables draw from the pairs that are left.
+_LEAST_SHARE = 1 / 64
+_CHUNK = 1 << 16
+
+
 def unseen_pairs(seen: DataFrame, order_by: str = "review_id") -> DataFrame:
     """As many random pairs that nobody has seen as there are seen rows.
 
     Users and businesses are drawn independently from the rows, so the frequent ones come
     up more often, and a pair may repeat. Candidates are numbered; those that are left
     after the anti join count in that order. They come in rounds, each one a distributed
-    plan whose size follows from the share of candidates left so far; only counts return
-    to the driver, and the result does not depend on the rounds.
+    plan whose size follows from the share of candidates left so far, and at most as large
+    as all rounds before it; only counts return to the driver, and the result does not
+    depend on the rounds.
+
+    Where nearly every pair is seen, almost no candidate would be left. There the pairs
+    left over are at most a few times as many as the seen ones, so they are listed, and
+    drawn with the chances that the candidates would have given them.
     """
     rows = numbered(seen.select(order_by, *PAIR), [order_by], "row").select("row", *PAIR)
     total = rows.count()
     if total == 0:
         return rows.select(F.col("row").alias("candidate"), *PAIR)
-    known = stored_lookup(rows.select(*PAIR).distinct(), "known")
+    known = stored(rows.select(*PAIR).distinct(), "known")
+    looked_up = lookup(known)
     kept, have, drawn, size = None, 0, 0, 2 * total
     while have < total:
         candidates = _drawn_pairs(rows, total, drawn, size)
-        fresh = stored(candidates.join(known, list(PAIR), "left_anti"), "unseen")
-        found = fresh.count()
-        if found == 0 and _all_seen(known):
-            raise ValueError("every user has seen every business: there is no unseen pair")
+        fresh = stored(candidates.join(looked_up, list(PAIR), "left_anti"), "unseen")
+        have, drawn = have + fresh.count(), drawn + size
+        if kept is None and have < drawn * _LEAST_SHARE:
+            left = _pairs_left(rows, known)
+            if left is not None:
+                return _drawn_by_weight(left, total)
         kept = fresh if kept is None else kept.unionByName(fresh)
-        have, drawn = have + found, drawn + size
-        size = math.ceil(1.2 * max(total - have, 0) * drawn / max(have, 1)) + 1000
+        wanted = math.ceil(1.2 * max(total - have, 0) * drawn / max(have, 1)) + 1000
+        size = min(wanted, drawn)
     return _first_by(kept.select("candidate", *PAIR), "candidate", total, drawn)
 
 
+def _each_number(df: DataFrame, name: str, first: Column, last: Column) -> DataFrame:
+    """A row for each whole number from ``first`` to ``last``, listed in chunks."""
+    chunks = df.withColumn("_from", F.explode(F.sequence(first, last, F.lit(_CHUNK).cast("bigint"))))
+    numbers = F.sequence(F.col("_from"), F.least(last, F.col("_from") + (_CHUNK - 1)))
+    return chunks.withColumn(name, F.explode(numbers)).drop("_from")
+
+
+def _pairs_left(rows: DataFrame, known: DataFrame) -> DataFrame | None:
+    """The pairs that are not ``known``, with the product of their counts as ``weight``.
+
+    None if all pairs are more than four times as many as the known ones.
+    """
+    users, businesses = (stored(rows.groupBy(x).agg(F.count("*").alias(f"{x}_n")), x) for x in PAIR)
+    side, seen = businesses.count(), known.count()
+    grid = users.count() * side
+    if seen == grid:
+        raise ValueError("every user has seen every business: there is no unseen pair")
+    if grid > 4 * seen:
+        return None
+    coded = stored_lookup(numbered(businesses, ["business_id"], "code"), "codes")
+    pairs = _each_number(users, "code", F.lit(0).cast("bigint"), F.lit(side - 1).cast("bigint")).join(coded, "code")
+    weight = F.col("user_id_n").cast("decimal(19,0)") * F.col("business_id_n").cast("decimal(18,0)")
+    left = pairs.join(known, list(PAIR), "left_anti")
+    return stored(left.select(*PAIR, weight.cast("decimal(38,0)").alias("weight")), "left")
+
+
+def _drawn_by_weight(left: DataFrame, count: int) -> DataFrame:
+    """``count`` draws from the rows, each with a chance that goes with its ``weight``.
+
+    A draw is a point on a line on which every row owns a stretch as long as its weight.
+    Points and stretches meet by equal buckets of the line, as many as there are rows.
+    """
+    sums = left.agg(F.sum("weight").alias("all"), F.count("*").alias("n")).first()
+    whole, buckets = float(sums["all"]), sums["n"]
+
+    def bucket(point: Column) -> Column:
+        return F.floor(point / whole * buckets).cast("bigint")
+
+    placed = running_sums(left, list(PAIR), {"before": F.col("weight")})
+    line = placed.select(
+        *PAIR,
+        F.col("before").cast("double").alias("first"),
+        (F.col("before") + F.col("weight")).cast("double").alias("end"),
+    )
+    line = stored(_each_number(line, "bucket", bucket(F.col("first")), bucket(F.col("end"))), "line")
+    share = spread_hash(F.col("id"), "u") / float(1 << 48)
+    points = left.sparkSession.range(count).select(F.col("id").alias("candidate"), (share * whole).alias("point"))
+    inside = (F.col("first") <= F.col("point")) & (F.col("point") < F.col("end"))
+    met = points.withColumn("bucket", bucket(F.col("point"))).join(line, "bucket").where(inside)
+    return met.select("candidate", *PAIR)
+
+
 # Numbers are counted in so many equal ranges to find where a count is reached.
 _COUNTED_RANGES = 4096
 
@@ -87,15 +152,6 @@ def _first_by(rows: DataFrame, number: str, count: int, end: int) -> DataFrame:
     return rows
 
 
-def _all_seen(known: DataFrame) -> bool:
-    sizes = known.agg(
-        F.count("*").alias("pairs"),
-        F.countDistinct("user_id").alias("users"),
-        F.countDistinct("business_id").alias("businesses"),
-    ).first()
-    return sizes["pairs"] == sizes["users"] * sizes["businesses"]
-
-
 def attach_vectors(pairs: DataFrame, users: DataFrame, businesses: DataFrame) -> DataFrame:
     """Pairs with the mean vectors of their user and their business."""
     return pairs.join(users, "user_id").join(businesses, "business_id")
@@ -113,22 +169,20 @@ _RANGES = 1 << 16
 _RANGE_BITS = 32
 
 
-def _held_out_sizes(rows: DataFrame, label: str, share: float) -> dict:
-    """How many rows of each class are held out; in total the share, rounded up.
+def _held_out_sizes(rows: DataFrame, label: str, share: float) -> DataFrame:
+    """``_class`` and how many of its rows are held out, ``_wanted``; in total the share, rounded up.
 
     Each class gets its part rounded down, and the rows still missing go to the classes
-    with the largest remainders.
+    with the largest remainders; among equals the null class comes last.
     """
-    sizes = {row[label]: row["n"] for row in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
+    sizes = stored(rows.groupBy("_class", label).agg(F.count("*").alias("_n")), "class-sizes")
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
     wanted = math.ceil(round(total * share, 9))
-    exact = {y: wanted * n / total for y, n in sizes.items()}
-    parts = {y: math.floor(part) for y, part in exact.items()}
-    # The null class comes last among equals.
-    by_remainder = sorted(exact, key=lambda y: (parts[y] - exact[y], y is None, y))
-    for y in by_remainder[: wanted - sum(parts.values())]:
-        parts[y] += 1
-    return parts
+    exact = F.lit(float(wanted)) * F.col("_n") / F.lit(float(max(total, 1)))
+    parts = sizes.withColumn("_whole", F.floor(exact)).withColumn("_below", F.floor(exact) - exact)
+    missing = wanted - (parts.agg(F.sum("_whole")).first()[0] or 0)
+    placed = numbered(parts, ["_below", F.col(label).isNull(), label], "_place")
+    return placed.select("_class", (F.col("_whole") + (F.col("_place") < missing).cast("int")).alias("_wanted"))
 
 
 def stratified_split(
@@ -141,39 +195,37 @@ def stratified_split(
     one whose rows are put in order, which yields the last held-out row of the class.
     Every row is then compared with that one.
     """
-    parts = _held_out_sizes(rows, label, share)
-    if not parts:
-        return rows.withColumn("held_out", F.lit(False))
     # Null is a class like any other, so the joins go by a name that is never null.
     named = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("null"))
     hashed = rows.withColumn("_hash", spread_hash(F.col(key), "split")).withColumn("_class", named)
     keys = hashed.select(label, "_class", key, "_hash").withColumn(
         "_range", F.shiftright("_hash", _RANGE_BITS)
     )
-    wanted = F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(y)), n) for y, n in parts.items()])
+    wanted = stored_lookup(_held_out_sizes(keys.select("_class", label), label, share), "quotas")
     before = Window.partitionBy("_class").orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
     # At most _RANGES rows per class.
     ranges = (
-        keys.groupBy(label, "_class", "_range")
+        keys.groupBy("_class", "_range")
         .agg(F.count("*").alias("_n"))
+        .join(wanted, "_class")
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_missing", wanted - F.col("_before"))
+        .withColumn("_missing", F.col("_wanted") - F.col("_before"))
         .where((F.col("_missing") > 0) & (F.col("_missing") <= F.col("_n")))
         .select("_class", "_range", "_missing")
     )
     in_range = Window.partitionBy("_class").orderBy("_hash", key)
     # One row per class.
     last = (
-        keys.join(F.broadcast(ranges), ["_class", "_range"])
+        keys.join(stored_lookup(ranges, "cut-ranges"), ["_class", "_range"])
         .withColumn("_place", F.row_number().over(in_range))
         .where(F.col("_place") == F.col("_missing"))
         .select("_class", F.struct("_hash", F.col(key).alias("_key")).alias("_last"))
     )
     own = F.struct("_hash", F.col(key).alias("_key"))
     return (
-        hashed.join(F.broadcast(last), "_class", "left")
+        hashed.join(stored_lookup(last, "last-held-out"), "_class", "left")
         .withColumn("held_out", F.coalesce(own <= F.col("_last"), F.lit(False)))
         .drop("_hash", "_last", "_class")
     )

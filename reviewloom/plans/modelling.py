@@ -19,10 +19,12 @@ from reviewloom.plans.preparation import Prepared, Settings, training_set
 
 
 def split_training_set(prepared: Prepared, concatenated: bool) -> tuple[DataFrame, DataFrame]:
-    """Features and ``y`` for training and for validation (``stored``)."""
-    rows = stored(training_set(prepared, concatenated), "training")
-    split = with_features(stratified_split(rows, "y", "key"), F.col("x")).drop("x")
-    split = stored(split, "split")
+    """Features and ``y`` for training and for validation (``stored``).
+
+    Pairs with undefined features leave before the split, so its shares hold for the rest.
+    """
+    rows = with_features(training_set(prepared, concatenated), F.col("x")).drop("x")
+    split = stored(stratified_split(stored(rows, "training"), "y", "key"), "split")
     return split.where(~F.col("held_out")), split.where("held_out")
 
 

@@ -51,16 +51,17 @@ def mlp_scores(spark, folder):
 GROUPS = {"user": 20, "business": 10}
 
 
-def _grouped(spark, folder, entity):
-    sums = _review_sums(spark, folder, "tfidf")
+def _grouped(sums, entity):
     means = stored(entity_means(sums, entity), "means")
     return stored(entity_groups(means, entity, GROUPS[entity]), "groups")
 
 
 @query("kmeans_sizes")
 def kmeans_sizes(spark, folder):
+    sums = _review_sums(spark, folder, "tfidf")
+
     def sizes(entity):
-        counted = _grouped(spark, folder, entity).groupBy("group")
+        counted = _grouped(sums, entity).groupBy("group")
         return counted.agg(F.count("*").alias("members")).select(
             F.lit(entity).alias("entity"), "group", "members"
         )
@@ -93,9 +94,9 @@ def grouped_words(spark, folder):
 @query("pca_points")
 def pca_points(spark, folder):
     """Users and businesses on the first two principal components."""
+    sums = _review_sums(spark, folder, "tfidf")
 
     def points(entity):
-        sums = _review_sums(spark, folder, "tfidf")
         rows = learning.with_features(
             stored(entity_means(sums, entity), "means"), F.col(f"{entity}_vec")
         )

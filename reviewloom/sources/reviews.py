@@ -67,9 +67,13 @@ def literal_to_json_lines(spark: SparkSession, path: str, out: str) -> None:
 
 
 def read_review_lines(spark: SparkSession, path: str, variant: str = "FILTER") -> DataFrame:
-    """JSON lines to rows with the five review fields; missing keys are null."""
+    """JSON lines to rows with the five review fields; missing keys are null.
+
+    A line that is no such record is an error, not a row of nulls; blank lines are none.
+    """
     record = FULL_RECORD if variant == "FULL" else FILTER_RECORD
-    records = spark.read.text(path).select(F.from_json("value", record).alias("record"))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    records = lines.select(F.from_json("value", record, {"mode": "FAILFAST"}).alias("record"))
     return records.select(*review_fields(F.col("record"), variant))
 
 

@@ -27,6 +27,14 @@ def test_literals_are_not_run(spark, tmp_path):
         reviews.literal_to_json_lines(spark, str(tmp_path / "bad.json"), str(tmp_path / "out"))
 
 
+def test_malformed_review_lines_are_errors(spark, tmp_path):
+    (tmp_path / "lines").write_text('{"user_id": "a"}\n\n{"user_id": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        reviews.read_review_lines(spark, str(tmp_path / "lines")).collect()
+    (tmp_path / "fine").write_text('{"user_id": "a"}\n\n')
+    assert reviews.read_review_lines(spark, str(tmp_path / "fine")).count() == 1
+
+
 def test_flat_list_with_picture_structs(spark, tmp_path):
     text = '[{"business_id":"b","user_id":"u","rating":1,"pics":[{"id":"x"},{"id":"y"}]}]'
     (tmp_path / "full.json").write_text(text)

@@ -1,4 +1,5 @@
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -202,6 +203,56 @@ def test_no_unseen_pair_is_an_error(spark):
     assert sampling.unseen_pairs(seen.limit(0)).count() == 0
 
 
+def test_unseen_pairs_of_a_dense_table(spark):
+    """All pairs but two are seen; the user of one of them comes up ten times as often."""
+    rows = [(u, b) for u in range(40) for b in range(40) if (u, b) not in ((3, 5), (7, 9))]
+    rows += [(3, 0)] * 351
+    seen = spark.createDataFrame(
+        [(n, u, f"b{b}") for n, (u, b) in enumerate(rows)], "review_id int, user_id int, business_id string"
+    )
+    found = sampling.unseen_pairs(seen).collect()
+    drawn = [(r["user_id"], r["business_id"]) for r in found]
+    assert sorted(r["candidate"] for r in found) == list(range(len(rows)))
+    assert set(drawn) == {(3, "b5"), (7, "b9")}
+    assert drawn.count((3, "b5")) / len(drawn) == pytest.approx(10 / 11, abs=0.03)
+    assert sorted(found) == sorted(sampling.unseen_pairs(seen.repartition(3)).collect())
+
+
+def test_draws_go_with_the_weights(spark):
+    weights = [1, 0, 5, 1000, 1, 1, 300]
+    left = spark.createDataFrame(
+        [(n, n, Decimal(w)) for n, w in enumerate(weights)], "user_id int, business_id int, weight decimal(38,0)"
+    )
+    rows = sampling._drawn_by_weight(left, 20_000).collect()
+    assert sorted(r["candidate"] for r in rows) == list(range(20_000))
+    for n, w in enumerate(weights):
+        share = sum(r["user_id"] == n for r in rows) / 20_000
+        assert share == pytest.approx(w / sum(weights), abs=0.012)
+        assert w or not share
+
+
+def test_split_with_many_classes(spark):
+    """Every class has a quota of its own; no class is named in the plan."""
+    classes = 20_000
+    rows = spark.range(3 * classes + 9).select(
+        F.col("id").alias("key"),
+        F.when(F.col("id") < 3 * classes, (F.col("id") % classes).cast("string")).alias("y"),
+    )
+    held = sampling.stratified_split(rows, "y", "key").groupBy("y").agg(
+        F.count("*").alias("n"), F.sum(F.col("held_out").cast("int")).alias("held")
+    )
+    found = held.agg(F.sum("held"), F.max("held"), F.count("*")).first()
+    null = held.where("y is null").first()
+    assert found[0] == math.ceil((3 * classes + 9) * 0.25)
+    assert null["n"] == 9 and null["held"] in (2, 3) and found[2] == classes + 1
+    assert held.where("y is not null and held > 1").count() == 0
+
+
+def test_split_of_nothing(spark):
+    empty = spark.createDataFrame([], "key int, y string")
+    assert sampling.stratified_split(empty, "y", "key").collect() == []
+
+
 def test_split_is_exact_per_class(spark):
     rows = [(i, "a" if i % 5 else "b") for i in range(203)]
     df = spark.createDataFrame(rows, "key int, y string")
