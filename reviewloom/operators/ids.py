@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +29,15 @@ def encode_labels(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def add_review_ids(reviews: DataFrame, start: int = 0) -> DataFrame:
-    """Number the rows, ordered by all their columns, from ``start`` on."""
-    return numbered(reviews, reviews.columns, "review_id", start)
+def add_review_ids(
+    reviews: DataFrame, start: int = 0, order_by: Sequence[str] = ()
+) -> DataFrame:
+    """Number the rows from ``start`` on, as they are read.
+
+    Texts are written once and neither sorted nor shuffled. With ``order_by`` the rows are
+    sorted by these columns first, so that the numbers do not depend on the files.
+    """
+    return numbered(reviews, order_by, "review_id", start)
 
 
 def split_ids_and_text(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:

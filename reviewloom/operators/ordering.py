@@ -23,6 +23,9 @@ _ROW_BITS = 33
 
 
 def _sorted_slots(df: DataFrame, order_by: Sequence[Column | str], label: str) -> DataFrame:
+    if not order_by:
+        slotted = df.withColumn(_SLOT, F.monotonically_increasing_id())
+        return stored(slotted, label).withColumn(_PART, F.shiftright(_SLOT, _ROW_BITS))
     # The tie breaker lets equal rows go to different partitions, however many they are.
     ordered = df.withColumn(_TIE, F.monotonically_increasing_id()).orderBy(*order_by, _TIE)
     slotted = ordered.drop(_TIE).withColumn(_SLOT, F.monotonically_increasing_id())
@@ -41,7 +44,10 @@ def _sums_before(slots: DataFrame, sums: Mapping[str, Column]) -> DataFrame:
 def numbered(
     df: DataFrame, order_by: Sequence[Column | str], name: str, start: int = 0
 ) -> DataFrame:
-    """Add ``name``: ``start``, ``start + 1`` and so on in the given order, without gaps."""
+    """Add ``name``: ``start``, ``start + 1`` and so on in the given order, without gaps.
+
+    Without an order the rows keep their partitions and places.
+    """
     slots = _sorted_slots(df, order_by, name)
     offsets = _sums_before(slots, {"_offset": F.lit(1)})
     place = F.col(_SLOT) - F.shiftleft(F.col(_PART), _ROW_BITS)

@@ -62,7 +62,8 @@ FROM reviews""",
     ),
 )
 def row_ids(spark, folder):
-    return ids.add_review_ids(tables.reviews_bulk(spark, folder), start=1000)
+    reviews = tables.reviews_bulk(spark, folder)
+    return ids.add_review_ids(reviews, 1000, reviews.columns)
 
 
 @query(
@@ -71,7 +72,7 @@ def row_ids(spark, folder):
         _TEXT,
         """
 SELECT right(business_id, 1)::int AS business_id, user_id::int AS user_id,
-       rating::int AS rating, coalesce(CASE WHEN rating IS NOT NULL THEN review_text END, '_')
+       rating::int AS rating, coalesce(CASE WHEN review_id % 50 <> 0 THEN review_text END, '_')
          AS review_text
 FROM reviews""",
     ),
@@ -79,7 +80,7 @@ FROM reviews""",
 def typed_reviews(spark, folder):
     reviews = tables.reviews_text(spark, folder)
     holes = reviews.withColumn("business_id", F.expr("right(business_id, 1)")).withColumn(
-        "review_text", F.when(F.col("rating").isNotNull(), F.col("review_text"))
+        "review_text", F.when(F.col("review_id") % 50 != 0, F.col("review_text"))
     )
     return reviews_source.typed_reviews(holes)
 

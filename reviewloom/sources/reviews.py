@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,26 +45,74 @@ REVIEWS_SCHEMA = T.StructType(
 )
 
 
-def _literals_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for line in batch["value"]:
-            content = ast.literal_eval(line)
-            lists = content if isinstance(content, list) else (
-                content["train"] + content["val"] + content["test"]
-            )
-            for start in range(0, len(lists), 1000):
-                some = lists[start : start + 1000]
-                yield pd.DataFrame({"value": [json.dumps(record) for record in some]})
+# The lists of a printed file.
+LISTS = ("train", "val", "test")
 
+# What may stand between two records: brackets, commas, and names of lists.
+_BETWEEN = re.compile(r"(?:[\s\[\]{},:]|" + "|".join(f"'{name}'" for name in LISTS) + r")*")
 
-def literal_to_json_lines(spark: SparkSession, path: str, out: str) -> None:
-    """Rewrite lines that print Python lists or dicts as one JSON record per line.
 
-    To be done once: a printed line can only be read as a whole, by one task, while JSON
-    lines split at any size. The lines are parsed as literals, never run as code.
+def printed_records(piece: str) -> list[dict]:
+    """The records of a piece of a printed file that starts inside a list of them.
+
+    The piece ends in what stands before the next record or after the last one. Records
+    are parsed as literals, never run as code; anything else is an error.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    lines.mapInPandas(_literals_to_json, "value string").write.mode("overwrite").text(out)
+    end = len(piece)
+    for _ in range(3):
+        end = piece.rfind("}", 0, end)
+        if end < 0:
+            break
+        if not _BETWEEN.fullmatch(piece, end + 1):
+            break
+        try:
+            found = ast.literal_eval(piece[: end + 1])
+        except (SyntaxError, ValueError):
+            continue
+        return list(found) if isinstance(found, tuple) else [found]
+    raise ValueError(f"no printed record: {piece[:80]!r}")
+
+
+def _pieces_to_json(start: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            records = [
+                json.dumps(record)
+                for piece in batch["value"]
+                # What stands before the first record of a file.
+                if not _BETWEEN.fullmatch(piece)
+                for record in printed_records(start + piece)
+            ]
+            yield pd.DataFrame({"value": records}, dtype=object)
+
+    return run
+
+
+def _first_key(spark: SparkSession, path: str) -> str | None:
+    """The key with which the first printed record starts."""
+    # A limit reads the head of the file only; names of lists may come before the first record.
+    heads = spark.read.text(path, lineSep="{'").limit(2 + len(LISTS)).collect()
+    keys = [re.match(r"(\w+)'\s*:", row["value"]) for row in heads]
+    return next((key[1] for key in keys if key and key[1] not in LISTS), None)
+
+
+def literal_to_json_lines(
+    spark: SparkSession, path: str, out: str, first_key: str | None = None
+) -> None:
+    """Rewrite printed Python lists or dicts of records as one JSON record per line.
+
+    However long a printed line is, it is read by many tasks: the start of a record,
+    ``{'first_key': ``, serves as the line separator. Records that start with another key
+    are found in the piece of the one before. A text that holds the separator itself
+    (which takes both kinds of quotes to print) is an error, as is all that is no literal;
+    such a file can be read with another ``first_key``. Without one the key of the first
+    record is taken; a file without records gives no lines.
+    """
+    first_key = first_key or _first_key(spark, path)
+    start = f"{{'{first_key}': "
+    pieces = spark.read.text(path, lineSep=start)
+    found = pieces.mapInPandas(_pieces_to_json(start), "value string")
+    found.write.mode("overwrite").text(out)
 
 
 def read_review_lines(spark: SparkSession, path: str, variant: str = "FILTER") -> DataFrame:

@@ -43,7 +43,7 @@ def test_codes_are_alphabetical_and_null_stays(spark):
 
 def test_review_ids_go_on_from_a_start(spark):
     reviews = spark.createDataFrame([("u", "b", "x"), ("a", "b", "x")], "user_id string, business_id string, review_text string")
-    numbered = ids.add_review_ids(reviews, start=7)
+    numbered = ids.add_review_ids(reviews, 7, reviews.columns)
     id_rows, texts = ids.split_ids_and_text(numbered)
     assert {(r["user_id"], r["review_id"]) for r in id_rows.collect()} == {("a", 7), ("u", 8)}
     assert texts.columns == ["review_id", "review_text"]
@@ -111,3 +111,12 @@ def test_double_singletons(spark):
     assert sorted(row["review_id"] for row in kept) == [1, 2, 3, 5]
     once = words.values_seen_once(ids_, "user_id").collect()
     assert sorted(row["user_id"] for row in once) == [2, 3, 4]
+
+
+def test_row_numbers_as_read(spark):
+    rows = spark.range(100, numPartitions=7).select((F.col("id") * 37 % 100).alias("x"), F.lit("t").alias("text"))
+    numbered = ids.add_review_ids(rows, start=5).collect()
+    assert [(r["x"], r["review_id"]) for r in sorted(numbered, key=lambda r: r["review_id"])] == [
+        (i * 37 % 100, i + 5) for i in range(100)
+    ]
+    assert ids.add_review_ids(rows.limit(0)).count() == 0

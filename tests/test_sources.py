@@ -21,6 +21,49 @@ def test_review_literals_become_json_lines(spark, tmp_path):
     ]
 
 
+def test_printed_files_are_read_by_many_tasks(spark, tmp_path):
+    texts = ["It's", 'a "good" one', "both ' and \"", "} ], {", "[x]}", "", "two\nlines", "caf\u00e9 }, {'x': "]
+    records = [
+        {
+            "business_id": f"b{i}",
+            "user_id": None if i % 7 == 0 else f"u{i}",
+            "rating": i % 5 + 1,
+            "review_text": texts[i % len(texts)],
+            "pics": None if i % 3 else [f"p{i}", "q"],
+        }
+        for i in range(400)
+    ]
+    # Records that start with another key, alone and in a row.
+    records[11] = {"user_id": "other", "business_id": "b11"}
+    records[12] = {"rating": 3}
+    printed = {"train": records[:300], "val": [], "test": records[300:]}
+    (tmp_path / "in.txt").write_text(repr(printed))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        out = str(tmp_path / "out")
+        reviews.literal_to_json_lines(spark, str(tmp_path / "in.txt"), out)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len([p for p in (tmp_path / "out").glob("part-*") if p.stat().st_size]) >= 4
+    found = reviews.read_review_lines(spark, out).collect()
+    keys = ("business_id", "user_id", "rating", "review_text", "pics")
+    wanted = [tuple(record.get(key) for key in keys) for record in records]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, wanted))
+
+
+def test_printed_records_with_nested_pictures(spark, tmp_path):
+    flat = [{"user_id": "u", "pics": [{"id": "x", "at": 1}, {"id": "y"}]}, {"user_id": "v"}]
+    (tmp_path / "full.txt").write_text(repr(flat) + "\n")
+    reviews.literal_to_json_lines(spark, str(tmp_path / "full.txt"), str(tmp_path / "out"))
+    rows = reviews.read_review_lines(spark, str(tmp_path / "out"), "FULL").collect()
+    assert sorted((row["user_id"], row["pics"]) for row in rows) == [("u", ["x", "y"]), ("v", None)]
+    (tmp_path / "none.txt").write_text(repr({"train": [], "val": [], "test": []}))
+    reviews.literal_to_json_lines(spark, str(tmp_path / "none.txt"), str(tmp_path / "none"))
+    assert reviews.read_review_lines(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_literals_are_not_run(spark, tmp_path):
     (tmp_path / "bad.json").write_text("__import__('os').getcwd()\n")
     with pytest.raises(Exception):
