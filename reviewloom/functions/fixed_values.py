@@ -28,9 +28,6 @@ STOP_WORDS = tuple(
 # Words that negate although they are no contraction.
 PLAIN_NEGATIONS = ("no", "not", "t", "nor", "against")
 
-# Fixed value: how a picture id becomes a link.
-PICTURE_LINK_PREFIX = "https://lh5.googleusercontent.com/p/"
-
 # Fixed value: what a missing review text is replaced by; cleaning turns it into a blank.
 MISSING_TEXT = "_"
 

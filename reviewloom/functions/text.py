@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.fixed_values import (
     MISSING_TEXT,
-    PICTURE_LINK_PREFIX,
     PUNCTUATION,
     RECIPE_COLUMNS,
 )
@@ -135,5 +134,5 @@ def append_picture_words(text: Column, words: Column) -> Column:
     return F.when(words.isNull(), text).otherwise(extended)
 
 
-def picture_link(picture_id: Column, prefix: str = PICTURE_LINK_PREFIX) -> Column:
+def picture_link(picture_id: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix), picture_id)

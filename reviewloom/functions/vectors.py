@@ -41,14 +41,6 @@ def divide(vector: Column, number: Column) -> Column:
     return F.zip_with(vector, _for_each(vector, number), F.try_divide)
 
 
-def add(left: Column, right: Column) -> Column:
-    return F.zip_with(left, right, lambda x, y: x + y)
-
-
-def subtract(left: Column, right: Column) -> Column:
-    return F.zip_with(left, right, lambda x, y: x - y)
-
-
 def scale(vector: Column, number: Column) -> Column:
     return F.zip_with(vector, _for_each(vector, number), lambda x, y: x * y)
 

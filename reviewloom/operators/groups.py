@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.operators.durable import lookup, stored
+from reviewloom.operators.durable import lookup, stored, stored_lookup
+from reviewloom.operators.entity_vectors import entity_word_weights
 from reviewloom.operators.tfidf import label_positions, top_words, weigh, word_labels
 
 
-def entity_word_totals(counts: DataFrame, entity: str) -> DataFrame:
-    """All words of an entity's reviews together, as counts: its text without the order."""
-    return counts.groupBy(f"{entity}_id", "word").agg(F.sum("n").alias("n"))
-
-
 def group_word_counts(counts: DataFrame, groups: DataFrame, entity: str) -> DataFrame:
     """``group``, ``word``, ``tf`` for all entities of each group (one row per entity).
 
@@ -24,26 +20,46 @@ def group_word_counts(counts: DataFrame, groups: DataFrame, entity: str) -> Data
     return labelled.groupBy("group", "word").agg(F.sum("n").alias("tf"))
 
 
+def averaged_group_weights(counts: DataFrame, groups: DataFrame, entity: str) -> DataFrame:
+    """``group``, ``word``, ``weight``: the mean TF-IDF over the entities of the group.
+
+    ``groups`` has one row per entity that has words; those without a word count with 0.
+    """
+    key = f"{entity}_id"
+    weights = entity_word_weights(counts, entity).select(key, "word", "weight")
+    sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
+    sums = attach_groups(weights, groups, entity).groupBy("group", "word").agg(F.sum("weight").alias("total"))
+    # One row per group.
+    return sums.join(stored_lookup(sizes, "group-sizes"), "group").select(
+        "group", "word", (F.col("total") / F.col("members")).alias("weight")
+    )
+
+
 def group_keywords(
     counts: DataFrame,
     groups: DataFrame,
     vocabulary: DataFrame,
     entity: str,
     top: int = 500,
+    averaged: bool = False,
 ) -> DataFrame:
     """``arg_position``, ``arg_label``, ``rank``, ``word`` of the most telling words.
 
-    All texts of a group make one document. Groups are numbered by their first entity, and
+    All texts of a group make one document, or, ``averaged``, each entity makes one and the
+    group has the mean of their weights. Groups are numbered by their first entity, and
     each of the ``top`` words of widest spread is listed under its strongest group.
     """
     key = f"{entity}_id"
-    tf = stored(group_word_counts(counts, groups, entity), "group-words")
     present = groups.join(counts.select(key).distinct(), key, "left_semi")
     positions = stored(
         label_positions(present.withColumn("group", F.col("group").cast("int")), "group", key),
         "positions",
     )
-    weights = weigh(tf, "group", positions.select("group"))
+    if averaged:
+        weights = stored(averaged_group_weights(counts, present, entity), "group-weights")
+    else:
+        tf = stored(group_word_counts(counts, groups, entity), "group-words")
+        weights = weigh(tf, "group", positions.select("group"))
     best = word_labels(weights, "group", positions, vocabulary)
     return top_words(best, top).select("arg_position", "arg_label", "rank", "word")
 

@@ -125,6 +125,11 @@ def fit_components(rows: DataFrame, k: int) -> PipelineModel:
     )
 
 
+def explained_variance(model: PipelineModel) -> list[float]:
+    """The share of all variance that each principal component explains."""
+    return model.stages[-1].explainedVariance.toArray().tolist()
+
+
 def fit_groups(rows: DataFrame, k: int, seed: int = 1) -> KMeansModel:
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="group").fit(
         rows.select("features")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions import vectors as V
+from reviewloom.operators.durable import stored
 from reviewloom.operators.entity_vectors import vector_sums
 
 
@@ -39,6 +40,54 @@ def analogy(
     )
 
 
+# So many questions fit into one array that every task holds.
+QUESTIONS_IN_BLOCK = 1_000
+
+
+def analogies(vectors: DataFrame, questions: DataFrame, size: int, top: int = 10) -> DataFrame:
+    """:func:`analogy` for a table: ``question``, ``base``, ``version``, ``target``.
+
+    Gives ``question``, ``word``, ``similarity``, ``rank``. All words are scored against the
+    questions, which reach the tasks in blocks; each input partition keeps ``top`` words of
+    a question before the shuffle. Words of zero length and questions with an unknown, null
+    or repeated word give no row.
+    """
+    units = vectors.select("word", V.unit(F.col("vec")).alias("vec"))
+    units = stored(units.where(F.get("vec", F.lit(0)).isNotNull()), "units")
+    roles = F.array(
+        F.struct(F.lit(-1.0).alias("sign"), F.col("base").alias("word")),
+        F.struct(F.lit(1.0).alias("sign"), F.col("version").alias("word")),
+        F.struct(F.lit(1.0).alias("sign"), F.col("target").alias("word")),
+    )
+    # One row per question and word of it.
+    given = questions.select("question", F.inline(roles)).join(units, "word")
+    asked = given.groupBy("question").agg(
+        F.collect_set("word").alias("given"),
+        vector_sums(size, times=F.col("sign") / 3.0).alias("vec"),
+    )
+    asked = asked.where(F.size("given") == 3).withColumn("vec", V.unit(F.col("vec")))
+    asked = stored(asked, "questions")
+    blocks = max(1, math.ceil(asked.count() / QUESTIONS_IN_BLOCK))
+    block = F.pmod(F.xxhash64("question"), F.lit(blocks))
+    found = None
+    for number in range(blocks):
+        gathered = asked.where(block == number).agg(F.collect_list(F.struct("question", "given", "vec")))
+        scored = units.select("word", "vec", F.explode(gathered.scalar()).alias("asked"))
+        scored = scored.where(~F.array_contains("asked.given", F.col("word"))).select(
+            F.col("asked.question").alias("question"),
+            "word",
+            V.dot(F.col("vec"), F.col("asked.vec")).alias("similarity"),
+        )
+        best = _best(scored.where(F.col("similarity").isNotNull()), top)
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def _best(scored: DataFrame, top: int) -> DataFrame:
+    order = Window.partitionBy("question").orderBy(F.col("similarity").desc(), "word")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def centres(points: DataFrame, label: str, vector: str, size: int) -> DataFrame:
     """The mean vector of each label."""
     sums = points.groupBy(label).agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +16,21 @@ from reviewloom.operators.learning import (
     scores,
     with_features,
 )
-from reviewloom.operators.sampling import stratified_split
+from reviewloom.operators.sampling import PAIR, Hash, fast_hash, stratified_split
+from reviewloom.operators.stats import area_under_roc, confusion_matrix
 from reviewloom.plans.preparation import Prepared, Settings, training_set
 
 
-def split_training_set(prepared: Prepared, concatenated: bool) -> tuple[DataFrame, DataFrame]:
+def split_training_set(
+    prepared: Prepared, concatenated: bool, hashed: Hash = fast_hash
+) -> tuple[DataFrame, DataFrame]:
     """Features and ``y`` for training and for validation (``stored``).
 
     Pairs with undefined features leave before the split, so its shares hold for the rest.
     """
     rows = with_features(training_set(prepared, concatenated), F.col("x")).drop("x")
-    split = stored(stratified_split(stored(rows, "training"), "y", "key"), "split")
+    rows = stored(rows, "training")
+    split = stored(stratified_split(rows, "y", "key", hashed=hashed), "split")
     return split.where(~F.col("held_out")), split.where("held_out")
 
 
@@ -41,6 +47,24 @@ def deep_learning(prepared: Prepared, settings: Settings, max_iter: int = 100) -
     return scores(model, held_out)
 
 
+@dataclass(frozen=True)
+class Evaluation:
+    """The scored validation rows (stored), their confusion matrix, and the AUC."""
+
+    scored: DataFrame
+    confusion: DataFrame
+    auc: DataFrame
+
+
+def evaluate(scored: DataFrame) -> Evaluation:
+    scored = stored(scored.select("key", *PAIR, "y", "score", "predicted"), "scores")
+    return Evaluation(
+        scored,
+        confusion_matrix(scored, "y", "predicted"),
+        area_under_roc(scored, "y", "score"),
+    )
+
+
 def entity_groups(entities: DataFrame, entity: str, k: int, seed: int = 1) -> DataFrame:
     """Users or businesses in ``k`` groups by their mean vectors: id and ``group``."""
     rows = with_features(entities, F.col(f"{entity}_vec"))

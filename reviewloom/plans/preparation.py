@@ -17,7 +17,13 @@ from reviewloom.operators.entity_vectors import (
     leave_one_out,
     review_sums,
 )
-from reviewloom.operators.sampling import attach_vectors, labelled, unseen_pairs
+from reviewloom.operators.sampling import (
+    Hash,
+    attach_vectors,
+    fast_hash,
+    labelled,
+    unseen_pairs,
+)
 from reviewloom.operators.vocabulary import code_words, usable_words
 from reviewloom.operators.words import (
     coded_review_words,
@@ -29,12 +35,16 @@ from reviewloom.operators.words import (
 
 @dataclass(frozen=True)
 class Settings:
-    """``concatenated``: pair features are both vectors, else their product."""
+    """``concatenated``: pair features are both vectors, else their product.
+
+    ``hashed`` draws the unseen pairs; ``spread_hash`` draws the same ones in every engine.
+    """
 
     vector_size: int
     weighting: Weighting = field(default_factory=Weighting)
     concatenated: bool = True
     stop_words: Iterable[str] = STOP_WORDS
+    hashed: Hash = fast_hash
 
 
 def kept_word_counts(
@@ -84,7 +94,7 @@ def prepare(
     users = stored(entity_means(sums, "user"), "users")
     businesses = stored(entity_means(sums, "business"), "businesses")
     seen = stored(leave_one_out(sums), "pairs")
-    unseen = attach_vectors(unseen_pairs(seen), users, businesses)
+    unseen = attach_vectors(unseen_pairs(seen, hashed=settings.hashed), users, businesses)
     return Prepared(counts, seen, unseen, users, businesses)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from reviewloom.functions.vectors import length
+from reviewloom.functions.vectors import as_doubles, length
 from reviewloom.operators import learning, stats
 from reviewloom.operators.durable import stored
 from reviewloom.operators.entity_vectors import ENTITIES, entity_means
@@ -13,10 +13,10 @@ from reviewloom.operators.groups import attach_groups, group_keywords
 from reviewloom.operators.tfidf import keywords_per_label
 from reviewloom.operators.vocabulary import spell_words
 from reviewloom.plans import sql as S
-from reviewloom.plans.modelling import baseline, deep_learning, entity_groups
+from reviewloom.plans.modelling import baseline, deep_learning, entity_groups, evaluate
 from reviewloom.plans.preparation import Settings, prepare
 from reviewloom.plans.queries_vectors import _inputs, _review_sums
-from reviewloom.plans.registry import query
+from reviewloom.plans.registry import query, rounded
 from reviewloom.sources import tables
 from reviewloom.sources.recipes import recipe_word_lists
 
@@ -47,6 +47,44 @@ def mlp_scores(spark, folder):
     return scored.select("key", "user_id", "business_id", "y", "score", "predicted")
 
 
+@query("lr_confusion")
+def lr_confusion(spark, folder):
+    prepared, _ = _prepared(spark, folder)
+    return evaluate(baseline(prepared)).confusion
+
+
+@query(
+    "pca_variance",
+    S.with_parts(
+        {
+            "long": f"""
+SELECT vec_id, unnest(range({S.SIZE})) AS dim, unnest(embedding)::double AS x FROM embeddings""",
+            "covered": """
+SELECT a.dim AS i, b.dim AS j, covar_samp(a.x, b.x) AS c
+FROM long a JOIN long b ON a.vec_id = b.vec_id GROUP BY ALL""",
+        },
+        f"""
+SELECT {S.SIZE} AS components, 1.0::double AS shares,
+       {S.r6('sum(c * c) / power(sum(c) FILTER (i = j), 2)')} AS squared_shares
+FROM covered""",
+    ),
+)
+def pca_variance(spark, folder):
+    """The shares of variance of all components, and their squares, added up.
+
+    The squares belong to the squares of all covariances.
+    """
+    rows = tables.table(spark, folder, "embeddings")
+    rows = learning.with_features(rows, as_doubles(F.col("embedding")))
+    shares = learning.explained_variance(learning.fit_components(rows, S.SIZE))
+    listed = spark.createDataFrame([(share,) for share in shares], "share double")
+    return listed.agg(
+        F.count("*").cast("int").alias("components"),
+        rounded(F.sum("share")).alias("shares"),
+        rounded(F.sum(F.col("share") * F.col("share"))).alias("squared_shares"),
+    )
+
+
 # How many groups of each side the keyword report asks for.
 GROUPS = {"user": 20, "business": 10}
 

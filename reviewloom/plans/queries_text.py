@@ -158,7 +158,7 @@ def recipe_words(spark, folder):
 SELECT p_partkey, concat(CASE WHEN p_size % 3 <> 0 THEN p_name ELSE '' END, ' ',
          array_to_string(string_split(p_name, ' ')[1:10], ' '), ' ',
          array_to_string(string_split(lower(p_brand), '#')[1:10], ' ')) AS review_text,
-       concat('https://lh5.googleusercontent.com/p/', p_type) AS link
+       concat('https://pictures.example/', p_type) AS link
 FROM part""",
 )
 def picture_words(spark, folder):
@@ -167,7 +167,7 @@ def picture_words(spark, folder):
         "p_partkey",
         F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("review_text"),
         F.array(F.split("p_name", " "), F.split(F.lower("p_brand"), "#")).alias("tags"),
-        T.picture_link(F.col("p_type")).alias("link"),
+        T.picture_link(F.col("p_type"), "https://pictures.example/").alias("link"),
     )
     return reviews_source.with_picture_words(tagged, "tags", top=10).drop("tags")
 
@@ -394,24 +394,18 @@ def word_label(spark, folder):
     return labels.withColumn("stdev", rounded("stdev"))
 
 
-_LANGS = ("de", "en", "es", "fr")
-
-
 @query(
     "word_label_table",
     S.with_parts(
         _LANG_JOINED | word_label_parts("lang", "doc_id", "documents", "w"),
-        "SELECT wl.word, arg_position, arg_label, "
-        + f"{S.r6('stdev')} AS stdev, "
-        + ", ".join(
-            S.r6(f"coalesce(sum(weight) FILTER (lang = '{lang}'), 0.0)") + f" AS {lang}"
-            for lang in _LANGS
-        )
-        + " FROM wl LEFT JOIN w ON wl.word = w.word"
-        + " GROUP BY wl.word, arg_position, arg_label, stdev",
+        f"""
+SELECT wl.word, arg_position, arg_label, {S.r6('stdev')} AS stdev, w.lang,
+       {S.r6('w.weight')} AS weight
+FROM wl LEFT JOIN w ON wl.word = w.word""",
     ),
 )
 def word_label_table(spark, folder):
+    """Words with their label and spread, and a row for each label they have a weight in."""
     vocab = document_vocabulary(spark, folder)
     documents = tables.documents(spark, folder)
     weights = stored(
@@ -419,12 +413,13 @@ def word_label_table(spark, folder):
     )
     positions = stored(tfidf.label_positions(documents, "lang", "doc_id"), "positions")
     labels = tfidf.word_labels(weights, "lang", positions, vocab)
-    wide = tfidf.word_label_table(labels, weights, "lang", _LANGS)
-    return wide.select(
+    cells = labels.join(weights.select("word", "lang", "weight"), "word", "left")
+    return cells.select(
         "word",
         "arg_position",
         "arg_label",
-        *[rounded(name).alias(name) for name in ("stdev", *_LANGS)],
+        "lang",
+        *[rounded(name).alias(name) for name in ("stdev", "weight")],
     )
 
 

@@ -8,8 +8,10 @@ from reviewloom.functions import vectors as V
 from reviewloom.operators import entity_vectors as E
 from reviewloom.operators import groups, ids, sampling, similarity
 from reviewloom.operators.durable import stored
+from reviewloom.operators.tfidf import keywords_per_label
 from reviewloom.operators.vocabulary import code_words, spell_words
 from reviewloom.plans import sql as S
+from reviewloom.plans.modelling import split_training_set
 from reviewloom.plans.preparation import Settings, kept_word_counts, prepare, training_set
 from reviewloom.plans.queries_text import document_vocabulary, word_label_parts
 from reviewloom.plans.registry import long_vectors, query, rounded
@@ -29,14 +31,14 @@ def _inputs(spark, folder):
 
 
 def _kept(spark, folder):
-    """Word counts and vectors by the index of the word, and the vocabulary."""
+    """Word counts, the words' vectors, and the vocabulary."""
     reviews, vocab, vectors = _inputs(spark, folder)
-    return kept_word_counts(reviews, vocab, vectors), code_words(vectors, vocab), vocab
+    return kept_word_counts(reviews, vocab, vectors), vectors, vocab
 
 
 def _review_sums(spark, folder, mode):
-    counts, vectors, _ = _kept(spark, folder)
-    return E.review_sums(counts, vectors, S.SIZE, MODES[mode])
+    counts, vectors, vocab = _kept(spark, folder)
+    return E.review_sums(counts, code_words(vectors, vocab), S.SIZE, MODES[mode])
 
 
 def _register_word_weights(entity):
@@ -75,6 +77,7 @@ JOIN ends e ON c.word = e.word""",
     )
     def word_level(spark, folder):
         counts, vectors, vocab = _kept(spark, folder)
+        vectors = code_words(vectors, vocab)
         rows = E.word_level(counts, vectors, entity, with_tfidf)
         return spell_words(rows, vocab).select(
             key,
@@ -243,6 +246,49 @@ def analogy_topk(spark, folder):
     return found.withColumn("similarity", rounded("similarity"))
 
 
+@query(
+    "analogy_table",
+    S.with_parts(
+        {
+            "long": f"""
+SELECT vec_id, unnest(range({S.SIZE})) AS dim, unnest(embedding)::double AS x FROM embeddings""",
+            "units": """
+SELECT vec_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM long""",
+            "asked": """
+SELECT a.vec_id AS question, a.dim, (b.x + c.x - a.x) / 3 AS q
+FROM units a JOIN units b ON b.vec_id = a.vec_id + 1 AND a.dim = b.dim
+             JOIN units c ON c.vec_id = a.vec_id + 2 AND a.dim = c.dim
+WHERE a.vec_id % 20 = 0""",
+            "scored": """
+SELECT question, concat('w', vec_id) AS word, sum(x * q) / sqrt(sum(q * q)) AS similarity
+FROM units JOIN asked USING (dim)
+WHERE vec_id NOT IN (question, question + 1, question + 2) GROUP BY question, vec_id""",
+        },
+        f"""
+SELECT question, word, {S.r6('similarity')} AS similarity,
+       row_number() OVER (PARTITION BY question ORDER BY similarity DESC, word)::int AS rank
+FROM scored QUALIFY rank <= 10""",
+    ),
+)
+def analogy_table(spark, folder):
+    """Every twentieth vector and the two after it make a question to all of them."""
+    rows = tables.table(spark, folder, "embeddings")
+
+    def word(number):
+        return F.concat(F.lit("w"), number.cast("string"))
+
+    vectors = rows.select(word(F.col("vec_id")).alias("word"), V.as_doubles(F.col("embedding")).alias("vec"))
+    first = F.col("vec_id")
+    questions = rows.where(first % 20 == 0).select(
+        first.alias("question"),
+        word(first).alias("base"),
+        word(first + 1).alias("version"),
+        word(first + 2).alias("target"),
+    )
+    found = similarity.analogies(vectors, questions, S.SIZE)
+    return found.withColumn("similarity", rounded("similarity"))
+
+
 @query(
     "nearest_centroid",
     S.with_parts(
@@ -283,8 +329,9 @@ FROM reviews""",
     ),
 )
 def unseen_pairs(spark, folder):
-    reviews = ids.add_review_ids(tables.reviews_bulk(spark, folder))
-    return sampling.unseen_pairs(reviews)
+    reviews = tables.reviews_bulk(spark, folder)
+    numbered = ids.add_review_ids(reviews, order_by=reviews.columns)
+    return sampling.unseen_pairs(numbered, hashed=sampling.spread_hash)
 
 
 _TRAINING = (
@@ -322,7 +369,7 @@ FROM products GROUP BY key, user_id, business_id, y""",
 )
 def training_rows(spark, folder):
     reviews, vocab, vectors = _inputs(spark, folder)
-    prepared = prepare(reviews, vocab, vectors, Settings(S.SIZE))
+    prepared = prepare(reviews, vocab, vectors, Settings(S.SIZE, hashed=sampling.spread_hash))
     rows = training_set(prepared, concatenated=False)
     total = F.aggregate("x", F.lit(0.0), lambda total, x: total + x)
     return rows.select(
@@ -335,32 +382,58 @@ def training_rows(spark, folder):
     )
 
 
-@query(
-    "stratified_split",
-    S.with_parts(
-        {
-            "rows_": """
-SELECT event_id AS key, event_type AS y FROM events""",
-            "sizes": "SELECT y, count(*) AS n FROM rows_ GROUP BY y",
-            "exact": """
+def _split_parts(rows):
+    """``split``: key, y, held_out of the subquery ``rows``."""
+    return {
+        "rows_": rows,
+        "sizes": "SELECT y, count(*) AS n FROM rows_ GROUP BY y",
+        "exact": """
 SELECT y, ceil(sum(n) OVER () * 0.25) AS wanted, ceil(sum(n) OVER () * 0.25) * n / sum(n) OVER () AS part
 FROM sizes""",
-            "parts": """
+        "parts": """
 SELECT y, floor(part) + (row_number() OVER (ORDER BY floor(part) - part, y)
          <= wanted - sum(floor(part)) OVER ())::int AS take
 FROM exact""",
-        },
-        f"""
+        "split": f"""
 SELECT key, r.y, row_number() OVER (PARTITION BY r.y
          ORDER BY {S.spread_hash('key', 'split')}, key) <= p.take AS held_out
 FROM rows_ r JOIN parts p ON r.y = p.y""",
+    }
+
+
+@query(
+    "lr_holdout",
+    S.with_parts(
+        _TRAINING
+        | _split_parts(
+            f"""
+SELECT key, y FROM products GROUP BY key, y
+HAVING count(x) = {S.SIZE} AND NOT bool_or(isnan(x))"""
+        ),
+        "SELECT key, y FROM split WHERE held_out",
+    ),
+)
+def lr_holdout(spark, folder):
+    """The validation rows of the classifier on vector products."""
+    reviews, vocab, vectors = _inputs(spark, folder)
+    settings = Settings(S.SIZE, hashed=sampling.spread_hash)
+    prepared = prepare(reviews, vocab, vectors, settings)
+    held_out = split_training_set(prepared, False, sampling.spread_hash)[1]
+    return held_out.select("key", "y")
+
+
+@query(
+    "stratified_split",
+    S.with_parts(
+        _split_parts("SELECT event_id AS key, event_type AS y FROM events"),
+        "SELECT key, y, held_out FROM split",
     ),
 )
 def stratified_split(spark, folder):
     events = tables.table(spark, folder, "events").select(
         F.col("event_id").alias("key"), F.col("event_type").alias("y")
     )
-    return sampling.stratified_split(events, "y", "key")
+    return sampling.stratified_split(events, "y", "key", hashed=sampling.spread_hash)
 
 
 def _group_parts(entity):
@@ -386,30 +459,86 @@ SELECT {key}, grp FROM groups WHERE {key} IN (SELECT {key} FROM counts)""",
     )
 
 
-def _register_group_keywords(entity):
+def given_groups(spark, folder, entity):
+    """Users or businesses with the label of a vector as their group (``stored``)."""
+    key = f"{entity}_id"
+    entities = tables.reviews_text(spark, folder).select(key).distinct()
+    embeddings = tables.table(spark, folder, "embeddings")
+    number = embeddings.agg(F.count("*")).scalar()
+    coded = ids.encode_labels(entities.withColumn("code", F.col(key)), "code")
+    place = F.col(key) if entity == "user" else F.col("code")
+    labelled = coded.withColumn("vec_id", place % number).join(embeddings, "vec_id")
+    return stored(labelled.select(key, F.col("label").alias("group")), "groups")
+
+
+def _top_words(spark, folder, entity, averaged=False):
+    counts, _, vocab = _kept(spark, folder)
+    grouped = given_groups(spark, folder, entity)
+    codes = vocab.select(F.col("idx").alias("word"))
+    top = groups.group_keywords(counts, grouped, codes, entity, averaged=averaged)
+    return spell_words(top, vocab)
+
+
+_TOP = """
+SELECT arg_position, arg_label, word,
+       row_number() OVER (ORDER BY round(stdev, 9) DESC, word)::int AS rank
+FROM wl QUALIFY rank <= 500"""
+
+
+def _averaged_group_parts(entity):
     key = f"{entity}_id"
+    given = {name: part for name, part in _group_parts(entity).items() if name not in ("pos", "grid", "wl")}
+    return (
+        given
+        | S.entity_weights(entity)
+        | {
+            "members": "SELECT grp, count(*) AS members FROM present GROUP BY grp",
+            "averaged": f"""
+SELECT p.grp, e.word, sum(e.weight) / any_value(m.members) AS weight
+FROM {entity}_w e JOIN present p ON e.{key} = p.{key} JOIN members m ON p.grp = m.grp
+GROUP BY ALL""",
+        }
+        | word_label_parts("grp", key, "present", "averaged")
+    )
+
+
+def _register_group_keywords(entity):
+    @query(f"group_keywords_{entity}", S.with_parts(_group_parts(entity), _TOP))
+    def group_keywords(spark, folder):
+        return _top_words(spark, folder, entity)
 
     @query(
-        f"group_keywords_{entity}",
+        f"group_keywords_averaged_{entity}",
+        S.with_parts(_averaged_group_parts(entity), _TOP),
+    )
+    def group_keywords_averaged(spark, folder):
+        return _top_words(spark, folder, entity, averaged=True)
+
+    @query(
+        f"group_report_{entity}",
         S.with_parts(
-            _group_parts(entity),
+            _group_parts(entity) | {"top": _TOP},
             """
-SELECT arg_position, arg_label, word,
-       row_number() OVER (ORDER BY round(stdev, 9) DESC, word)::int AS rank
-FROM wl QUALIFY rank <= 500""",
+SELECT arg_position, arg_label, list(word ORDER BY rank) AS words
+FROM top GROUP BY arg_position, arg_label""",
         ),
     )
-    def group_keywords(spark, folder):
+    def group_report(spark, folder):
+        return keywords_per_label(_top_words(spark, folder, entity))
+
+    @query(
+        f"words_of_groups_{entity}",
+        S.with_parts(
+            _group_parts(entity),
+            f"""
+SELECT c.{entity}_id, c.word, c.n, g.grp AS "group"
+FROM counts c JOIN groups g ON c.{entity}_id = g.{entity}_id""",
+        ),
+    )
+    def words_of_groups(spark, folder):
         counts, _, vocab = _kept(spark, folder)
-        entities = tables.reviews_text(spark, folder).select(key).distinct()
-        embeddings = tables.table(spark, folder, "embeddings")
-        number = embeddings.agg(F.count("*")).scalar()
-        coded = ids.encode_labels(entities.withColumn("code", F.col(key)), "code")
-        place = F.col(key) if entity == "user" else F.col("code")
-        labelled = coded.withColumn("vec_id", place % number).join(embeddings, "vec_id")
-        grouped = stored(labelled.select(key, F.col("label").alias("group")), "groups")
-        codes = vocab.select(F.col("idx").alias("word"))
-        return spell_words(groups.group_keywords(counts, grouped, codes, entity), vocab)
+        words = spell_words(counts.select(f"{entity}_id", "word", "n"), vocab)
+        return groups.attach_groups(words, given_groups(spark, folder, entity), entity)
 
 
 for _entity in E.ENTITIES:
