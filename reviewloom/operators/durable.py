@@ -28,6 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stored-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write the rows once to the shared folder and go on from the written table.
 
@@ -35,11 +39,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     and neither a lost executor nor a second use computes the rows again.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(spark: SparkSession) -> None:
+    """Remove all tables that :func:`stored` wrote in this session.
+
+    To be called when their readers are done; other files in the shared folder stay.
+    """
+    context = spark.sparkContext
+    if not (context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _value_bytes(field: T.StructField):
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.StringType):

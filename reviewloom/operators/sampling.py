@@ -113,7 +113,7 @@ def _pairs_left(rows: DataFrame, known: DataFrame) -> DataFrame | None:
     return stored(left.select(*PAIR, weight.cast("decimal(38,0)").alias("weight")), "left")
 
 
-def _drawn_by_weight(left: DataFrame, count: int, hashed: Hash) -> DataFrame:
+def _drawn_by_weight(left: DataFrame, count: int, hashed: Hash = fast_hash) -> DataFrame:
     """``count`` draws from the rows, each with a chance that goes with its ``weight``.
 
     A draw is a point on a line on which every row owns a stretch as long as its weight.

@@ -1,13 +1,14 @@
 """From the raw files to scored pairs, as the README shows it."""
 
 import random
+from dataclasses import replace
+from pathlib import Path
 
-from reviewloom.operators.ids import add_review_ids
-from reviewloom.operators.learning import model_vectors, train_word_vectors
-from reviewloom.operators.vocabulary import build_vocabulary, lexicon
-from reviewloom.plans.modelling import baseline
+import pytest
+
+from reviewloom.operators.durable import remove_stored, stored
+from reviewloom.plans.from_files import Files, evaluated, learned, numbered_reviews
 from reviewloom.plans.preparation import Settings, prepare
-from reviewloom.sources import recipes, reviews, vectors
 
 FOODS = ["soup", "bread", "salad", "pizza", "pasta", "rice", "curry", "beans", "fish", "cake"]
 
@@ -30,22 +31,43 @@ def test_from_files_to_scores(spark, tmp_path):
     ] + [{"business_id": "b1", "user_id": "u1"}]
     (tmp_path / "reviews.txt").write_text(repr({"train": records, "val": [], "test": []}))
 
-    rows = recipes.read_recipes(spark, str(tmp_path / "recipes.csv"))
-    lists = recipes.recipe_word_lists(rows, ["ingredients", "name"])
-    vocabulary = recipes.save_table(build_vocabulary(lists, "text"), str(tmp_path / "vocabulary"))
-    model = train_word_vectors(lists, "words", size=6, window=5)
-    word_vectors = recipes.save_table(
-        vectors.lexicon_vectors(model_vectors(model), lexicon(vocabulary)),
-        str(tmp_path / "vectors"),
+    files = Files(
+        str(tmp_path / "recipes.csv"), str(tmp_path / "reviews.txt"), str(tmp_path), settings=Settings(vector_size=6)
     )
-    reviews.literal_to_json_lines(spark, str(tmp_path / "reviews.txt"), str(tmp_path / "lines"))
-    table = reviews.encoded_reviews(reviews.read_review_lines(spark, str(tmp_path / "lines")))
-
-    prepared = prepare(add_review_ids(table), vocabulary, word_vectors, Settings(vector_size=6))
+    vocabulary, word_vectors = learned(spark, files)
     assert {row["word"] for row in vocabulary.collect()} == set(FOODS)
+    assert {row["word"] for row in word_vectors.collect()} == set(FOODS)
+
+    loaded = replace(files, recipes="", fit=False)
+    reviews = numbered_reviews(spark, files)
+    assert sorted(row["review_id"] for row in reviews.collect()) == list(range(81))
+    prepared = prepare(reviews, vocabulary, word_vectors, files.settings)
     assert prepared.users.count() == len({r["user_id"] for r in records})
     seen = prepared.seen.count()
     assert prepared.unseen.count() == seen
-    scored = baseline(prepared)
-    assert scored.count() == -(-2 * seen // 4)
-    assert {row["predicted"] for row in scored.collect()} <= {0, 1}
+
+    found = evaluated(spark, loaded)
+    scored = found.scored.collect()
+    assert len(scored) == -(-2 * seen // 4)
+    assert {row["predicted"] for row in scored} <= {0, 1}
+    # The cells of each class add up to the validation rows of the class.
+    cells = found.confusion.collect()
+    for y in (0, 1):
+        assert sum(c["rows"] for c in cells if c["truth"] == y) == sum(row["y"] == y for row in scored)
+    pairs = [(a["score"], b["score"]) for a in scored for b in scored if a["y"] > b["y"]]
+    wins = sum((a > b) + (a == b) / 2 for a, b in pairs)
+    assert found.auc.first()["auc"] == pytest.approx(wins / len(pairs))
+
+
+def test_written_tables_can_be_removed(spark):
+    table = stored(spark.range(3), "three")
+    assert table.count() == 3
+    path = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    beside = path.parent.parent / "another"
+    beside.mkdir()
+    try:
+        remove_stored(spark)
+        assert not path.exists() and beside.exists()
+    finally:
+        beside.rmdir()
+    assert stored(spark.range(2), "again").count() == 2
