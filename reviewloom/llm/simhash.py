@@ -20,6 +20,7 @@ SHINGLE, SEED, MOST, FIELDS = 4, 42, 4, 3
 # Distinct fingerprints that live in one shard, about; fingerprints per leaf of the sample.
 SHARD, SAMPLE = 16_384, 64
 _ROWS = 1 << 16
+_ROW = "_row"
 
 
 def fingerprint(text: str, words_per_shingle: int = SHINGLE) -> int:
@@ -118,12 +119,24 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
-    """The documents whose key names their component.
+def numbered(docs: DataFrame) -> DataFrame:
+    """Written, with ``_row``: a number that no other row has."""
+    return stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def first_of_each(rows: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of numbered rows one per component: the smallest key, of equal keys the first row.
 
-    Of rows that share a key all stay or go together; rows with a null key stay only if
-    nothing with a key is near.
+    A null key is larger than any other. ``found`` has ``_row`` and ``component_id``.
     """
-    found = near_copies(docs, key, text, most).select(F.col(key).alias("id"), "component_id")
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col("id"))).select("id").distinct()
-    return docs.join(gone, docs[key].eqNullSafe(gone["id"]), "left_anti")
+    own = rows.select(_ROW, F.col(f"`{key}`").alias("id")).join(found.select(_ROW, "component_id"), _ROW)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", _ROW)
+    first = own.groupBy("component_id").agg(F.min(order).alias("first")).select(f"first.{_ROW}")
+    kept = rows.join(first, _ROW, "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in rows.columns if c != _ROW])
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+    """One row of each component, decided by row: keys may be null or repeated."""
+    rows = numbered(docs)
+    return first_of_each(rows, near_copies(rows, _ROW, text, most), key)
