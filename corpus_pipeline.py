@@ -1,4 +1,4 @@
-"""A corpus made ready for training: five stages, each over all that the one before kept."""
+"""A corpus made ready for training: six stages, each over all that the one before kept."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import line_dedup, mixing, packing, simhash, toxicity
+from reviewloom.llm import line_dedup, mixing, packing, shingles, simhash, toxicity
 from reviewloom.llm.common import read, ship
 from reviewloom.llm.queries import tokenizer_files
 from reviewloom.operators.durable import shared_folder
@@ -43,6 +43,13 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return simhash.one_of_each(docs)
 
 
+def without_word_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 0.8 or more of its runs of five words stays."""
+    ship(spark)
+    rows = simhash.numbered(docs)
+    return simhash.first_of_each(rows, shingles.linked(rows, simhash.ROW))
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target of their source asks for."""
     return mixing.mixed(docs)
@@ -58,6 +65,7 @@ STAGES = [
     ("toxicity", without_toxic),
     ("line_dedup", without_shared_lines),
     ("near_copies", without_near_copies),
+    ("word_copies", without_word_copies),
     ("mixing", mixed_sources),
     ("packing", packed_sequences),
 ]

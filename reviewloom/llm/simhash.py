@@ -20,7 +20,7 @@ SHINGLE, SEED, MOST, FIELDS = 4, 42, 4, 3
 # Distinct fingerprints that live in one shard, about; fingerprints per leaf of the sample.
 SHARD, SAMPLE = 16_384, 64
 _ROWS = 1 << 16
-_ROW = "_row"
+ROW = "_row"
 
 
 def fingerprint(text: str, words_per_shingle: int = SHINGLE) -> int:
@@ -121,7 +121,7 @@ def hex_digits(fp: Column) -> Column:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """Written, with ``_row``: a number that no other row has."""
-    return stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def first_of_each(rows: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -129,14 +129,14 @@ def first_of_each(rows: DataFrame, found: DataFrame, key: str = "doc_id") -> Dat
 
     A null key is larger than any other. ``found`` has ``_row`` and ``component_id``.
     """
-    own = rows.select(_ROW, F.col(f"`{key}`").alias("id")).join(found.select(_ROW, "component_id"), _ROW)
-    order = F.struct(F.col("id").isNull().alias("none"), "id", _ROW)
-    first = own.groupBy("component_id").agg(F.min(order).alias("first")).select(f"first.{_ROW}")
-    kept = rows.join(first, _ROW, "left_semi")
-    return kept.select(*[F.col(f"`{c}`") for c in rows.columns if c != _ROW])
+    own = rows.select(ROW, F.col(f"`{key}`").alias("id")).join(found.select(ROW, "component_id"), ROW)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", ROW)
+    first = own.groupBy("component_id").agg(F.min(order).alias("first")).select(f"first.{ROW}")
+    kept = rows.join(first, ROW, "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in rows.columns if c != ROW])
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """One row of each component, decided by row: keys may be null or repeated."""
     rows = numbered(docs)
-    return first_of_each(rows, near_copies(rows, _ROW, text, most), key)
+    return first_of_each(rows, near_copies(rows, ROW, text, most), key)
