@@ -100,26 +100,42 @@ def _root(path: str) -> str:
 def with_turns(records: DataFrame) -> DataFrame:
     """Add ``turns``, an array of place, role and text, by the mapping of the fingerprint.
 
-    Columns that no layout knows do not enter the fingerprint. A table whose known paths are
-    those of one layout has that one throughout, nulls included. A table with the paths of
-    several is taken row by row: there the paths below columns that are not null count, and
-    a row that fits no layout has null turns. A table without any layout is refused.
+    Other columns, known to some layout or to none, are extra. A table with the paths of one
+    layout has that one throughout, nulls included. In a table with the paths of several, a
+    row takes the largest layout whose columns are all filled, else the one with the most
+    filled paths (of equal ones the smaller, then the first of ``LAYOUTS``), and its nulls
+    read as empty. A row with nothing in any column that a layout knows has null turns; one
+    that fits no layout but has something there is an error. A table without any is refused.
     """
     there = sorted(set(field_paths(records.schema)) & set(_KNOWN))
     fitting = [layout for layout in LAYOUTS if set(layout.paths) <= set(there)]
     if not fitting:
         raise ValueError(f"no layout for the paths {field_paths(records.schema)}")
-    whole = [layout for layout in fitting if sorted(layout.paths) == there]
-    if whole:
-        found = _of(tuple(there))
+    filled = {path: F.col(_root(path)).isNotNull() for path in there}
+    if len(fitting) == 1:
+        found = F.lit(True)
+        shapes = [(found, fitting[0])]
     else:
-        present = [F.when(F.col(_root(path)).isNotNull(), path) for path in there]
-        found = _fingerprint(F.array_compact(F.array(*present)))
+        choices = []
+        for at, layout in enumerate(fitting):
+            number = sum((filled[path].cast("int") for path in layout.paths), F.lit(0))
+            whole = (number == len(layout.paths)).alias("whole")
+            order = [whole, number.alias("filled"), F.lit(-len(layout.paths)).alias("size"), F.lit(-at).alias("at")]
+            choices.append(F.when(number > 0, F.struct(*order, _of(layout.paths).alias("shape"))))
+        found = F.greatest(*choices)["shape"]
+        shapes = [(F.col("_shape") == _of(layout.paths), layout) for layout in fitting]
     turns = None
-    for layout in whole or fitting:
-        test = F.col("_shape") == _of(layout.paths)
+    for test, layout in shapes:
         turns = F.when(test, layout.turns()) if turns is None else turns.when(test, layout.turns())
-    return records.withColumn("_shape", found).withColumn("turns", turns).drop("_shape")
+    shaped = records.withColumn("_shape", found).withColumn("turns", turns).drop("_shape")
+    lists = all("[]" in path for path in fitting[0].paths)
+    if len(fitting) == 1 and not lists:
+        return shaped
+    known = F.concat_ws(", ", *[F.when(test, path) for path, test in filled.items()])
+    lost = F.col("turns").isNull() & (known != "")
+    message = F.concat(F.lit("no layout for a row with "), known)
+    kind = shaped.schema["turns"].dataType
+    return shaped.withColumn("turns", F.when(lost, F.raise_error(message).cast(kind)).otherwise(F.col("turns")))
 
 
 def formatted_chats(records: DataFrame, key: str) -> DataFrame:
@@ -132,7 +148,7 @@ def formatted_chats(records: DataFrame, key: str) -> DataFrame:
     A conversation is one value in the result, so its turns meet in one task; lengths are
     added up in a window over the same shuffle. Edges: null roles and texts read as empty;
     a null key is a conversation of its own; repeated rows are repeated turns; a record
-    without a layout or without turns adds none; an empty table gives no rows.
+    without anything in a layout or without turns adds none; an empty table gives no rows.
     """
     exploded = with_turns(records).select(
         F.col(key).alias("id"), F.posexplode("turns").alias("at", "turn")
