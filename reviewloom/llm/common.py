@@ -12,7 +12,9 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,16 +66,28 @@ def parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def by_batch(
-    df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str
+def slices(batch: pa.RecordBatch, column: str, rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many rows and, from the second row on, bytes of a text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = before = 0
+    while at < batch.num_rows:
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, stop - at)
+        at, before = stop, int(ends[stop - 1])
+
+
+def by_task(
+    df: DataFrame, start: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str
 ) -> DataFrame:
-    """Rows through a function of whole Arrow batches: columns in, columns out.
+    """As :func:`by_batch`, with a function that ``start`` makes anew for every task.
 
-    Spark bounds a batch in rows and in bytes, so very long texts come few at a time.
+    What the function keeps, such as a vocabulary, goes with the task: a worker process, which
+    Spark uses again, holds nothing for later stages.
     """
     target = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = start()
         for batch in batches:
             for part in parts(batch):
                 found = function(part.to_pydict())
@@ -82,3 +96,13 @@ def by_batch(
                 )
 
     return df.mapInArrow(run, schema)
+
+
+def by_batch(
+    df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str
+) -> DataFrame:
+    """Rows through a function of whole Arrow batches: columns in, columns out.
+
+    Spark bounds a batch in rows and in bytes, so very long texts come few at a time.
+    """
+    return by_task(df, lambda: function, schema)
