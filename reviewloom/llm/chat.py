@@ -85,57 +85,75 @@ LAYOUTS = (
 _KNOWN = sorted({path for layout in LAYOUTS for path in layout.paths})
 
 
-def _fingerprint(paths: Column) -> Column:
-    return F.xxhash64(F.concat_ws(",", paths))
+def _root(path: str) -> str:
+    return path.split("[")[0].split(".")[0]
 
 
-def _of(paths: tuple[str, ...]) -> Column:
-    return _fingerprint(F.array(*[F.lit(path) for path in sorted(paths)]))
+def _present(paths: list[str]) -> Column:
+    """The known paths that a row fills, in order."""
+    return F.array_compact(F.array(*[F.when(F.col(_root(path)).isNotNull(), path) for path in paths]))
 
 
-def _root(path: str) -> str:
-    return path.split("[")[0].split(".")[0]
+def fingerprint(paths: list[str]) -> Column:
+    """The hash of the field paths that a row fills."""
+    return F.xxhash64(F.array_join(_present(paths), ","))
 
 
-def with_turns(records: DataFrame) -> DataFrame:
-    """Add ``turns``, an array of place, role and text, by the mapping of the fingerprint.
+def chosen_layout(present: set[str], fitting: list[Layout]) -> Layout | None:
+    """The mapping of a set of filled paths, among the layouts whose paths a table has.
 
-    Other columns, known to some layout or to none, are extra. A table with the paths of one
-    layout has that one throughout, nulls included. In a table with the paths of several, a
-    row takes the largest layout whose columns are all filled, else the one with the most
-    filled paths (of equal ones the smaller, then the first of ``LAYOUTS``), and its nulls
-    read as empty. A row with nothing in any column that a layout knows has null turns; one
-    that fits no layout but has something there is an error. A table without any is refused.
+    The only layout there is (lists have to be filled), else the largest one that is filled,
+    else the one with most filled paths (of equal ones the smaller, then the first); none
+    where nothing is filled.
+    """
+    if len(fitting) == 1 and not all("[]" in path for path in fitting[0].paths):
+        return fitting[0]
+    ranked = []
+    for at, layout in enumerate(fitting):
+        number = len(present & set(layout.paths))
+        ranked.append((number == len(layout.paths), number, -len(layout.paths), -at))
+    best = max(range(len(fitting)), key=ranked.__getitem__)
+    return fitting[best] if ranked[best][1] else None
+
+
+def mappings(records: DataFrame) -> dict[int, tuple[list[str], Layout | None]]:
+    """The fingerprints that occur, with their paths and the layout each selects.
+
+    One row for each set of filled known paths, whatever the number of rows.
     """
     there = sorted(set(field_paths(records.schema)) & set(_KNOWN))
     fitting = [layout for layout in LAYOUTS if set(layout.paths) <= set(there)]
     if not fitting:
         raise ValueError(f"no layout for the paths {field_paths(records.schema)}")
-    filled = {path: F.col(_root(path)).isNotNull() for path in there}
-    if len(fitting) == 1:
-        found = F.lit(True)
-        shapes = [(found, fitting[0])]
-    else:
-        choices = []
-        for at, layout in enumerate(fitting):
-            number = sum((filled[path].cast("int") for path in layout.paths), F.lit(0))
-            whole = (number == len(layout.paths)).alias("whole")
-            order = [whole, number.alias("filled"), F.lit(-len(layout.paths)).alias("size"), F.lit(-at).alias("at")]
-            choices.append(F.when(number > 0, F.struct(*order, _of(layout.paths).alias("shape"))))
-        found = F.greatest(*choices)["shape"]
-        shapes = [(F.col("_shape") == _of(layout.paths), layout) for layout in fitting]
-    turns = None
-    for test, layout in shapes:
-        turns = F.when(test, layout.turns()) if turns is None else turns.when(test, layout.turns())
-    shaped = records.withColumn("_shape", found).withColumn("turns", turns).drop("_shape")
-    lists = all("[]" in path for path in fitting[0].paths)
-    if len(fitting) == 1 and not lists:
-        return shaped
-    known = F.concat_ws(", ", *[F.when(test, path) for path, test in filled.items()])
-    lost = F.col("turns").isNull() & (known != "")
-    message = F.concat(F.lit("no layout for a row with "), known)
-    kind = shaped.schema["turns"].dataType
-    return shaped.withColumn("turns", F.when(lost, F.raise_error(message).cast(kind)).otherwise(F.col("turns")))
+    seen = records.select(fingerprint(there).alias("mark"), _present(there).alias("paths")).distinct()
+    return {r.mark: (r.paths, chosen_layout(set(r.paths), fitting)) for r in seen.collect()}
+
+
+def with_turns(records: DataFrame) -> DataFrame:
+    """Add ``turns``, an array of place, role and text, by the mapping of the fingerprint.
+
+    The fingerprint of a row is the hash of the field paths it fills, and looks its layout up
+    in the table of those that occur (:func:`mappings`). Other columns, known to some layout or
+    to none, are extra and stay as they are; only a column ``turns`` is replaced. A table with
+    the paths of one layout has that one throughout, nulls included. In a table with the paths
+    of several, a row takes the one that :func:`chosen_layout` finds, and its nulls read as
+    empty. A row with nothing in any column that a layout knows has null turns; one that fits
+    no layout but has something there is an error. A table without any is refused.
+    """
+    there = sorted(set(field_paths(records.schema)) & set(_KNOWN))
+    known = mappings(records)
+    lost = sorted(paths for paths, layout in known.values() if paths and layout is None)
+    if lost:
+        raise ValueError(f"no layout for a row with {', '.join(lost[0])}")
+    used = [layout for layout in LAYOUTS if any(layout is own for _, own in known.values())]
+    entries = [F.lit(x) for mark, (_, own) in known.items() if own for x in (mark, used.index(own))]
+    if not entries:
+        return records.withColumn("turns", F.lit(None).cast("array<struct<place:bigint,role:string,text:string>>"))
+    number = F.element_at(F.create_map(*entries), fingerprint(there))
+    turns = F.when(number == 0, used[0].turns())
+    for at, layout in enumerate(used[1:], 1):
+        turns = turns.when(number == at, layout.turns())
+    return records.withColumn("turns", turns)
 
 
 def formatted_chats(records: DataFrame, key: str) -> DataFrame:

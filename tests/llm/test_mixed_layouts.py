@@ -36,3 +36,21 @@ def test_a_row_without_a_layout_is_an_error(spark):
     kind = "k bigint, text string, messages array<struct<role:string,content:string>>"
     with pytest.raises(Exception, match="no layout for a row with text"):
         turns(spark, [(1, "t", None)], kind)
+
+
+def test_the_plan_hashes_the_paths_of_each_row(spark):
+    kind = "k bigint, turn bigint, role string, text string"
+    table = spark.createDataFrame([(1, 0, "user", "q"), (1, None, None, None)], kind)
+    assert "xxhash64" in chat.with_turns(table)._jdf.queryExecution().optimizedPlan().toString()
+    known = chat.mappings(table)
+    assert sorted(paths for paths, _ in known.values()) == [[], ["role", "text", "turn"]]
+
+
+def test_other_columns_stay(spark):
+    kind = "k bigint, prompt string, response string, _shape string, place int, id string, number int, turns int"
+    table = spark.createDataFrame([(1, "q", "a", "s", 1, "i", 2, 3)], kind)
+    row = chat.with_turns(table).first()
+    assert (row["_shape"], row.place, row.id, row.number) == ("s", 1, "i", 2)
+    assert [tuple(t)[1:] for t in row.turns] == [("user", "q"), ("assistant", "a")]
+    chats = chat.formatted_chats(table, "k").collect()
+    assert [r.formatted for r in chats] == ["<turn>user</role>q</turn>\n<turn>assistant</role>a</turn>\n"]
