@@ -10,99 +10,28 @@ to end by round, source and place, and cut where a window ends.
 
 from __future__ import annotations
 
-import base64
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import by_batch, parts, same, text_of
+from reviewloom.llm.common import by_task, same, slices, text_of
+from reviewloom.llm.encoders import ByteEncoder
 from reviewloom.operators.durable import stored
 
 WINDOW, PACKET = 2048, 512
 END_ID = 1
 # Rows of a queue in one bucket, about; rounds in one bucket; buckets that are added up at once.
 _QUEUE, _ROUNDS, _UPPER = 10_000, 256, 4096
-_CACHE = 200_000
 
 
-class Encoder:
-    """Ids of texts, as those of the ``tokenizers`` file, with a cache of words.
-
-    The pattern of this byte-level vocabulary always parts a text before a space that is
-    followed by something else, so the ids of a text are those of its pieces between such
-    spaces. A piece of Latin letters, digits and signs is encoded from the rank file, which
-    has the same vocabulary and merges; other scripts go to ``tokenizers`` itself.
-    """
-
-    def __init__(self, tokenizer: str, ranks: str | None = None):
-        import tiktoken
-        from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(tokenizer)
-        self.whole.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.by_rank = None
-        if ranks:
-            with open(ranks, "rb") as lines:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.by_rank = tiktoken.Encoding(
-                "ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}
-            )
-        self.pieces = _Pieces(self)
-        self.end = np.array([END_ID], self.kind).tobytes()
-
-    def plain(self, text: str) -> bytes:
-        if self.by_rank and (text.isascii() or max(text) < "ɐ"):
-            ids = self.by_rank.encode_ordinary(text)
-        else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.kind).tobytes()
+class Encoder(ByteEncoder):
+    """Whole texts as the bytes of their ids, in the smallest kind of integer, and the end."""
 
     def __call__(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        try:
-            found = [self.plain(first) if first else b"", *map(self.pieces.__getitem__, rest)]
-        except _Irregular:
-            return self.plain(text) + self.end
-        # A first piece that ends in white space belongs together with the space behind it.
-        if first and first[-1].isspace():
-            return self.plain(text) + self.end
-        return b"".join(found) + self.end
-
-
-class _Irregular(Exception):
-    pass
-
-
-class _Pieces(dict):
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> bytes:
-        # White space next to the space: the pattern may take both as one piece.
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Irregular
-        if len(self) >= _CACHE:
-            self.clear()
-        found = self.encoder.plain(" " + piece)
-        if len(piece) < 64:
-            self[piece] = found
-        return found
-
-
-_encoders: dict[tuple, Encoder] = {}
-
-
-def _encoder(tokenizer: str, ranks: str | None) -> Encoder:
-    """One per process: its cache serves all batches."""
-    if (tokenizer, ranks) not in _encoders:
-        _encoders[tokenizer, ranks] = Encoder(tokenizer, ranks)
-    return _encoders[tokenizer, ranks]
+        return np.array([*self.ids(text), END_ID], self.kind).tobytes()
 
 
 def token_rows(docs: DataFrame, key: str, text: str, source: str, tokenizer: str, ranks: str | None) -> DataFrame:
@@ -115,14 +44,18 @@ def token_rows(docs: DataFrame, key: str, text: str, source: str, tokenizer: str
         text_of(F.col(text)).alias("text"),
     )
 
-    def function(batch: dict[str, list]) -> dict[str, list]:
-        encode = _encoder(tokenizer, ranks)
-        found = list(map(encode, batch["text"]))
-        size = encode.kind.itemsize
-        rest = {c: batch[c] for c in ("row", "id", "source")}
-        return rest | {"ids": found, "n": [len(x) // size for x in found]}
+    def start() -> Callable[[dict[str, list]], dict[str, list]]:
+        encode = Encoder(tokenizer, ranks)
+
+        def function(batch: dict[str, list]) -> dict[str, list]:
+            found = list(map(encode, batch["text"]))
+            size = encode.kind.itemsize
+            rest = {c: batch[c] for c in ("row", "id", "source")}
+            return rest | {"ids": found, "n": [len(x) // size for x in found]}
 
-    found = by_batch(rows, function, "row bigint, id string, source string, ids binary, n bigint")
+        return function
+
+    found = by_task(rows, start, "row bigint, id string, source string, ids binary, n bigint")
     return stored(found.withColumn("id", F.col("id").cast(kind)), "tokens")
 
 
@@ -221,21 +154,23 @@ def layout(
     )
 
 
-def _pieces(rows: list[dict]) -> pa.RecordBatch:
-    names = ("id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
-    found = {name: [] for name in names}
-    for row in rows:
-        own = np.frombuffer(row["ids"], f"<u{len(row['ids']) // row['n']}")
-        for c in row["cuts"]:
-            found["id"].append(row["id"])
-            found["ids"].append(own[c["start"] : c["start"] + c["length"]].astype("<u4").tobytes())
-            found["doc_tokens"].append(row["n"])
-            for name in ("start", "length", "sequence_id", "offset"):
-                found[name].append(c[name])
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(found[name], kind) for name, kind in zip(names, kinds, strict=True)], names=list(names)
-    )
+def _pieces(part: pa.RecordBatch) -> pa.RecordBatch:
+    """The pieces of some documents. Those of a document, in the order of their start, are the
+    document again, so the ids stay as they lie and only get new ends."""
+    listed = part.column("ids").to_pylist()
+    total = part.column("n").to_numpy()
+    cuts, whole = part.column("cuts"), b"".join(listed)
+    number = np.diff(cuts.offsets.to_numpy())
+    ids = np.frombuffer(whole, f"<u{len(whole) // max(1, int(total.sum()))}").astype("<u4")
+    fields = {name: cuts.flatten().field(name) for name in ("start", "length", "sequence_id", "offset")}
+    ends = np.concatenate([[0], np.cumsum(4 * fields["length"].to_numpy())]).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+    row = pa.array(np.repeat(np.arange(part.num_rows), number))
+    columns = {
+        "id": part.column("id").take(row), "start": fields["start"], "length": fields["length"], "ids": pieces,
+        "doc_tokens": part.column("n").take(row), "sequence_id": fields["sequence_id"], "offset": fields["offset"],
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def packed(
@@ -274,8 +209,8 @@ def packed(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, 128):
-                yield _pieces(part.to_pylist())
+            for part in slices(batch, "ids"):
+                yield _pieces(part)
 
     found = joined.mapInArrow(cut, out)
     return found.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", key)
