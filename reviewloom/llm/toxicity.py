@@ -21,14 +21,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import by_batch, parts, text_of
+from reviewloom.llm.common import by_task, parts, text_of
 from reviewloom.operators.durable import stored
 
 # Punctuation does not belong to words here: "word," and "word" are one feature.
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _LOW = np.uint64(0xFFFFFFFF)
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_CACHE = 200_000
+_CACHE = 50_000
 # Inflected words share a stem: their first letters.
 STEM = 5
 
@@ -36,7 +36,7 @@ STEM = 5
 @dataclass(frozen=True)
 class Settings:
     bits: int = 18
-    max_labelled: int = 8_000  # the bound of the sample of labelled rows
+    max_labelled: int = 16_000  # the bound of the sample of labelled rows
     shard_rows: int = 4_000  # labelled rows that one task learns from, about
     rounds: int = 4
     alpha: float = 0.5
@@ -47,7 +47,7 @@ class Settings:
 
 
 class _Hashes(dict):
-    """Hashes of the words seen by this process and, above 32 bits, of their stems.
+    """Hashes of the words that a task has seen and, above 32 bits, of their stems.
 
     Emptied when it grows large.
     """
@@ -62,13 +62,14 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
+def places(text: str, bits: int, hashes: dict[bytes, int] | None = None) -> np.ndarray:
+    """The places of all features of a text, with repeats; place 0 is the constant.
 
-
-def places(text: str, bits: int) -> np.ndarray:
-    """The places of all features of a text, with repeats; place 0 is the constant."""
+    ``hashes`` keeps what is known of words; a task has its own, which goes with it.
+    """
+    known = _Hashes() if hashes is None else hashes
     words = text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
-    found = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    found = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     single, stems = (found & _LOW) + np.uint64(1), found >> np.uint64(32)
     pairs = single[:-1] * _PAIR + single[1:]
     skips = single[:-2] * _SKIP + (single[2:] ^ _PAIR)
@@ -136,11 +137,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, s:
         F.xxhash64("id").alias("turn"), F.col("y").cast("bigint").alias("y"), "text"
     )
 
-    def featured(batch: dict[str, list]) -> dict[str, list]:
-        found = [np.unique(places(x, s.bits)) for x in batch["text"]]
-        return {"turn": batch["turn"], "y": batch["y"], "at": found}
+    def start() -> Callable[[dict[str, list]], dict[str, list]]:
+        hashes = _Hashes()
+
+        def featured(batch: dict[str, list]) -> dict[str, list]:
+            found = [np.unique(places(x, s.bits, hashes)) for x in batch["text"]]
+            return {"turn": batch["turn"], "y": batch["y"], "at": found}
+
+        return featured
 
-    rows = stored(by_batch(sample, featured, "turn bigint, y bigint, at array<int>"), "labelled")
+    rows = stored(by_task(sample, start, "turn bigint, y bigint, at array<int>"), "labelled")
     shards = max(1, math.ceil(rows.count() / s.shard_rows))
     rows = rows.withColumn("shard", F.pmod("turn", F.lit(shards))).groupBy("shard")
     rows = stored(rows.applyInPandas(_packed, "at binary, ends binary, y binary"), "shards")
@@ -160,10 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, s:
     return weights_of(z, n, s).astype(np.float32)
 
 
-def score_texts(texts: list[str], weights: np.ndarray, bits: int) -> list[float]:
-    scores = []
+def score_texts(
+    texts: list[str], weights: np.ndarray, bits: int, hashes: dict[bytes, int] | None = None
+) -> list[float]:
+    scores, hashes = [], _Hashes() if hashes is None else hashes
     for text in texts:
-        found = places(text, bits)
+        found = places(text, bits, hashes)
         # Most weights are zero: only the others need to be made distinct.
         found = np.unique(found[weights[found] != 0])
         scores.append(_sigmoid(float(weights[found].astype(np.float64).sum())))
@@ -189,16 +197,18 @@ def scores(
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).cast("string").alias("id"), text_of(F.col(text)).alias("text"))
 
-    def function(batch: dict[str, list]) -> dict[str, list]:
-        return {"id": batch["id"], "score": score_texts(batch["text"], weights.value, s.bits)}
+    def start() -> Callable[[dict[str, list]], dict[str, list]]:
+        hashes = _Hashes()
+        return lambda batch: {"id": batch["id"], "score": score_texts(batch["text"], weights.value, s.bits, hashes)}
 
-    found = by_batch(rows, function, "id string, score double")
+    found = by_task(rows, start, "id string, score double")
     return found.select(F.col("id").cast(kind).alias(key), "score")
 
 
 def held_out(key: Column, folds: int = 5) -> Column:
-    """Rows never to learn from: the crc32 of their key as text leaves no remainder."""
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)) == 0
+    """Rows never to learn from: the crc32 of their key as text leaves no remainder. A null
+    key is not held out."""
+    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
 
 
 def without_toxic(
@@ -209,10 +219,11 @@ def without_toxic(
     weights = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, "toxic", settings))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
             for part in parts(batch):
                 texts = [x or "" for x in part.column(text).to_pylist()]
-                found = score_texts(texts, weights.value, settings.bits)
+                found = score_texts(texts, weights.value, settings.bits, hashes)
                 yield part.filter(pa.array([score < most for score in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
