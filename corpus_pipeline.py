@@ -1,4 +1,4 @@
-"""A corpus made ready for training: six stages, each over all that the one before kept."""
+"""A corpus made ready for training: five stages, each over all that the one before kept."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm import line_dedup, mixing, packing, shingles, simhash, toxicity
 from reviewloom.llm.common import read, ship
+from reviewloom.llm.components import joined
 from reviewloom.llm.queries import tokenizer_files
 from reviewloom.operators.durable import shared_folder
 
@@ -38,16 +39,15 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays."""
-    ship(spark)
-    return simhash.one_of_each(docs)
-
+    """One document of each group of near-copies stays.
 
-def without_word_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 or more of its runs of five words stays."""
+    Fingerprints link copies that hardly differ; as they see few copies with more edits, texts
+    that share 0.8 or more of their runs of five words are linked as well.
+    """
     ship(spark)
     rows = simhash.numbered(docs)
-    return simhash.first_of_each(rows, shingles.linked(rows, simhash.ROW))
+    groupings = simhash.near_copies(rows, simhash.ROW), shingles.linked(rows, simhash.ROW)
+    return simhash.first_of_each(rows, joined(rows, simhash.ROW, *groupings))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,6 @@ STAGES = [
     ("toxicity", without_toxic),
     ("line_dedup", without_shared_lines),
     ("near_copies", without_near_copies),
-    ("word_copies", without_word_copies),
     ("mixing", mixed_sources),
     ("packing", packed_sequences),
 ]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import n_words, same, text_of
-from reviewloom.operators.durable import stored
+from reviewloom.operators.durable import stored, stored_lookup
 
 WEIGHTS = (5.0, 2.0, 1.0)
 _DIGITS = 13  # hexadecimal digits of a draw: 52 bits, exact in a double
@@ -53,13 +53,31 @@ def source_targets(
     return done.select("source", "source_size", "target", rate.alias("rate"))
 
 
-def copies(rate: Column, key: Column, seed: int) -> Column:
+def copies(rate: Column, name: Column, seed: int) -> Column:
     """``floor(rate)``, and one more with the probability of the fraction."""
-    word = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit(""))))
+    word = F.md5(F.concat_ws(":", F.lit(str(seed)), name))
     draw = F.conv(F.substring(word, 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16**_DIGITS))
     return F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
 
 
+def _repeated(docs: DataFrame, key: str) -> DataFrame:
+    """``_key`` of the keys that several rows share, as text."""
+    keys = docs.select(F.col(key).cast("string").alias("_key")).where(F.col("_key").isNotNull())
+    shared = keys.groupBy("_key").count().where("count > 1").select("_key", F.lit(True).alias("_shared"))
+    return stored_lookup(shared, "shared-keys")
+
+
+def _named(docs: DataFrame, key: Column, text: Column, repeated: DataFrame) -> DataFrame:
+    """Add ``_name``, what the draw of a row hashes: its key; where rows share the key or have
+    none, also the text and the place of the row, so that no group is drawn as one."""
+    own = docs.withColumn("_name", F.coalesce(key.cast("string"), F.lit("")))
+    place = F.concat_ws(":", "_name", F.xxhash64(text).cast("string"), F.monotonically_increasing_id().cast("string"))
+    own = own.withColumn("_alone", key.isNull()).withColumn("_place", place)
+    joined = own.join(repeated, F.col("_name") == F.col("_key"), "left")
+    many = F.col("_alone") | F.col("_shared").isNotNull()
+    return joined.withColumn("_name", F.when(many, F.col("_place")).otherwise(F.col("_name")))
+
+
 def mix_plan(
     docs: DataFrame,
     key: str = "doc_id",
@@ -73,12 +91,13 @@ def mix_plan(
     """One row per document: ``key``, size, source_size, target, copies.
 
     The size of a document is its number of words; a null text has none. Edges: null is a
-    source of its own, the last by name; a source without words gets no copies; rows that
-    share a key share the draw; an empty table gives no rows.
+    source of its own, the last by name; a source without words gets no copies; rows without
+    a key or with a repeated one draw by their text and place as well, each for itself (reruns
+    over the same files agree); an empty table gives no rows.
     """
-    sizes = docs.select(
-        F.col(key).alias("id"), F.col(source).cast("string").alias("source"), n_words(text_of(F.col(text))).alias("size")
-    )
+    named = docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+    named = _named(named, F.col("id"), F.col("text"), _repeated(docs, key))
+    sizes = named.select("id", "source", n_words(text_of("text")).alias("size"), "_name")
     # Read twice, but without the texts: for the totals, and for the documents.
     sizes = stored(sizes, "sizes")
     targets = stored(source_targets(sizes, weights, share, most), "targets")
@@ -88,7 +107,7 @@ def mix_plan(
         "size",
         "source_size",
         "target",
-        copies(F.col("rate"), F.col("id"), seed).cast("bigint").alias("copies"),
+        copies(F.col("rate"), F.col("_name"), seed).cast("bigint").alias("copies"),
     )
 
 
@@ -108,8 +127,9 @@ def mixed(
     targets = targets.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     packed = docs.select(
-        row, F.col(key).alias("id"), F.col(source).cast("string").alias("_own")
+        row, F.col(key).alias("_id"), F.col(source).cast("string").alias("_own"), F.col(text).alias("_text")
     )
+    packed = _named(packed, F.col("_id"), F.col("_text"), _repeated(docs, key))
     rated = packed.join(targets, same(F.col("_own"), F.col("_source")), "left")
-    number = copies(F.col("_rate"), F.col("id"), seed).cast("int")
+    number = copies(F.col("_rate"), F.col("_name"), seed).cast("int")
     return rated.select("row", F.explode(F.array_repeat(F.lit(1), number))).select("row.*")

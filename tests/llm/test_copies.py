@@ -2,7 +2,6 @@
 
 import random
 
-import corpus_pipeline
 from reviewloom.llm import shingles, simhash
 
 
@@ -48,7 +47,7 @@ def test_edited_copies_and_chains_from_similarity_08(spark):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id bigint, text string")
-    assert "word_copies" in dict(corpus_pipeline.STAGES)
-    found = corpus_pipeline.without_word_copies(spark, docs, "")
+    rows = simhash.numbered(docs)
+    found = simhash.first_of_each(rows, shingles.linked(rows, simhash.ROW))
     assert sorted(r.doc_id for r in found.collect()) == sorted(set(root))
     assert shingles.linked(simhash.numbered(docs.limit(0)), simhash.ROW).count() == 0
