@@ -91,14 +91,18 @@ LOOKALIKES = dict(
 LOOKALIKES |= {chr(code + 0xFEE0): chr(code) for code in range(0x21, 0x7F)}
 # Characters without width.
 INVISIBLE = "​‌‍⁠﻿­"
-# Digits as words.
-DIGIT_WORDS = {
-    word: str(digit)
-    for digit, words in enumerate(
-        ("zero|oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
-    )
-    for word in words.split("|")
-}
+# The digits from 0 to 9 as words, in English, German, French and Spanish.
+_DIGITS_BY_LANGUAGE = (
+    ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"),
+    ("null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun"),
+    ("zéro", "un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf"),
+    ("cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve"),
+)
+DIGIT_WORDS = {word: str(n) for words in _DIGITS_BY_LANGUAGE for n, word in enumerate(words)} | {"oh": "0"}
+# Words for the signs of an address and for the plus sign, in these languages.
+AT_WORDS = ("at", "arobase", "arobas", "arroba", "klammeraffe")
+DOT_WORDS = ("dot", "punkt", "point", "punto")
+PLUS_WORDS = ("plus", "más", "mas")
 
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE) + "]")
 _ODD_RUN = re.compile("[" + re.escape("".join(LOOKALIKES) + INVISIBLE) + "]+")
@@ -106,18 +110,30 @@ _WORD_DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 # At least three in a row, so that a lone number word stays a word.
 _SPELLED = re.compile(rf"(?i)(?<![a-z0-9]){_WORD_DIGIT}(?:[\x20,.-]{{1,2}}(?:{_WORD_DIGIT}|[0-9]+)){{2,}}(?![a-z])")
 _SPELLED_PART = re.compile(rf"(?i)({_WORD_DIGIT})|[0-9]+|[^a-z0-9]+")
-_PLUS = re.compile(rf"(?i)(?<![a-z])plus[\x20]+(?=[0-9]|{_WORD_DIGIT}[\x20,.-])")
-_OPEN, _CLOSE = r"[\x20\t]*[(\[{<]+[\x20\t]*", r"[\x20\t]*[)\]}>]+[\x20\t]*"
-_AT = rf"(?:{_OPEN}(?:at|@){_CLOSE}|[\x20\t]+at[\x20\t]+|[\x20\t]*@[\x20\t]*)"
-_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|[\x20\t]+dot[\x20\t]+|\.)"
-_NAME = r"[A-Za-z0-9][A-Za-z0-9_%+-]{0,63}"
-# Bounded repeats keep every try short. A plain address is none of this: see disguised().
-_ADDRESS = re.compile(
-    rf"(?i)(?<![A-Za-z0-9_%+.-]){_NAME}(?:{_DOT}{_NAME}){{0,4}}?({_AT})[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}"
+_PLUS = re.compile(rf"(?i)(?<![a-z])(?:{'|'.join(PLUS_WORDS)})[\x20]+(?=[0-9]|{_WORD_DIGIT}[\x20,.-])")
+_BLANK = r"[\x20\t]"
+
+
+def _dot(opening: str, words: str, closing: str) -> str:
+    bracketed = rf"{_BLANK}*{opening}+{_BLANK}*(?:{words}|\.){_BLANK}*{closing}+{_BLANK}*"
+    return rf"(?:{bracketed}|{_BLANK}+(?:{words}){_BLANK}+|\.)"
+
+
+_OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
+_DOT = _dot(_OPEN, "|".join(DOT_WORDS), _CLOSE)
+_DOT_RE = re.compile(rf"(?i){_DOT}")
+_BLANKS = re.compile(rf"{_BLANK}*")
+# An at sign without the blanks around it; a run of brackets is looked at from its start.
+_AT_RE = re.compile(
+    rf"(?i)(?<!{_OPEN}){_OPEN}+{_BLANK}*(?:{'|'.join(AT_WORDS)}|@){_BLANK}*{_CLOSE}+"
+    rf"|(?<={_BLANK})(?:{'|'.join(AT_WORDS)})(?={_BLANK})|@"
 )
-_AT_RE, _DOT_RE = re.compile(rf"(?i){_AT}"), re.compile(rf"(?i){_DOT}")
-_AT_SIGN = re.compile(r"(?i)[(\[{<][\x20\t]*(?:at|@)[\x20\t]*[)\]}>]|[\x20\t]at[\x20\t]|[\x20\t]@|@[\x20\t]")
-_DOT_SIGN = re.compile(r"(?i)[(\[{<][\x20\t]*(?:dot|\.)[\x20\t]*[)\]}>]|[\x20\t]dot[\x20\t]|\.")
+_LABEL, _NAME = r"[A-Za-z0-9-]+", r"[A-Za-z0-9_%+-]+"
+# What follows a sign, and, read from the sign to the left, what goes before it. No repeat has
+# a bound: a name and a dot share no character, so a scan goes over each character once.
+_WORDED_HOST = re.compile(rf"(?i){_LABEL}(?:{_DOT}{_LABEL})+")
+_WORDED_LOCAL = re.compile(rf"(?i){_NAME}(?:{_dot(_CLOSE, '|'.join(word[::-1] for word in DOT_WORDS), _OPEN)}{_NAME})*")
+_DOT_SIGN = re.compile(rf"(?i){_OPEN}{_BLANK}*(?:{'|'.join(DOT_WORDS)}|\.){_BLANK}*{_CLOSE}|{_BLANK}(?:{'|'.join(DOT_WORDS)}){_BLANK}|\.")
 _DOT_IP = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
 # Domain endings that are no common words. The bare word "at" needs one of them.
 ENDINGS = frozenset(
@@ -177,26 +193,47 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
     return sorted(changes)
 
 
+def _addresses(text: str) -> Iterator[tuple[tuple[int, int], list[tuple[int, int]]]]:
+    """Of each disguised address the place of its at sign and the places of its dots."""
+    backwards = last = None
+    for found in _AT_RE.finditer(text):
+        sign = found.group().lower()
+        start, end = found.span()
+        right = _BLANKS.match(text, end).end()
+        host = _WORDED_HOST.match(text, right)
+        if last is not None and start < last or not host:
+            continue
+        if backwards is None:
+            backwards = text[::-1]
+        left = len(text) - _BLANKS.match(backwards, len(text) - start).end()
+        local = _WORDED_LOCAL.match(backwards, len(text) - left)
+        if not local:
+            continue
+        begin = len(text) - local.end()
+        dots = [(*dot.span(), dot.group()) for a, b in ((begin, left), host.span()) for dot in _DOT_RE.finditer(text, a, b)]
+        worded = [dot for a, _, dot in dots if a >= right and dot != "."]
+        bare = sign in AT_WORDS
+        plain = sign == "@" and (left, right) == (start, end)
+        # The word alone or a lone sign needs a dot in disguise behind it: "at noon. Then" has none.
+        if not worded and (bare or sign == "@"):
+            if not plain or all(dot == "." for *_, dot in dots):
+                continue
+        ending = _DOT_RE.split(host.group())[-1].lower()
+        foreign = any(dot.strip().lower() in DOT_WORDS[1:] for dot in worded)
+        if not _ENDING.search(ending) or (bare or foreign) and ending not in ENDINGS:
+            continue
+        last = host.end()
+        yield (left, right), [(a, b) for a, b, dot in dots if dot != "."]
+
+
 def _signs(text: str) -> list[tuple[int, int, str]]:
     changes = []
     if not _DOT_SIGN.search(text):
         return changes
-    if _AT_SIGN.search(text):
-        for found in _ADDRESS.finditer(text):
-            at = found.span(1)
-            last = found.group().rpartition(".")[2].rpartition(" ")[2]
-            bare = found.group(1).strip().lower() == "at"
-            worded = _worded_dots(found.group()[at[1] - found.start() :])
-            # The word "at" alone needs a "dot" in disguise behind it: "at noon. Then" has none.
-            if (bare or "@" in found.group(1)) and not worded and (bare or found.group(1) == "@"):
-                continue
-            if not _ENDING.search(last) or bare and last.lower() not in ENDINGS:
-                continue
-            for dot in _DOT_RE.finditer(text, found.start(), found.end()):
-                if dot.group() != "." and not (at[0] <= dot.start() < at[1]):
-                    changes.append((*dot.span(), "."))
-            if found.group(1) != "@":
-                changes.append((*at, "@"))
+    for at, dots in _addresses(text):
+        changes += [(*dot, ".") for dot in dots]
+        if text[at[0] : at[1]] != "@":
+            changes.append((*at, "@"))
     for found in _DOT_IP.finditer(text):
         for dot in _DOT_RE.finditer(text, found.start(), found.end()):
             if dot.group() != ".":
@@ -204,10 +241,6 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
     return sorted(set(changes))
 
 
-def _worded_dots(text: str) -> bool:
-    return any(found.group() != "." for found in _DOT_RE.finditer(text))
-
-
 TRANSDUCERS = (_letters, _numbers, _signs)
 
 

@@ -234,6 +234,7 @@ def plain_personal(text):
 
 
 HARD = [
+    "a@b dot c a@b.c dot de me@x.y [dot] org",
     "a@b.c@d.e x.@-.y ..@a.b @c.d a@b a@b..c a.b@c.d.",
     "1.2.3.4.5.6.7.8 256.1.1.1 1.1.1.1.300 0001.02.3.004 1..2.3.4",
     "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111 1 23  4111111111111111",
@@ -251,6 +252,13 @@ def test_plain_personal_data(documents):
     [
         ("write to jane.doe (at) mail (dot) example (dot) org now", "email", "jane.doe (at) mail (dot) example (dot) org"),
         ("write to jane at example dot org now", "email", "jane at example dot org"),
+        ("to a.b.c.d.e.f.g.h (at) mail (dot) example (dot) org", "email", "a.b.c.d.e.f.g.h (at) mail (dot) example (dot) org"),
+        ("to x (at) a (dot) b (dot) c (dot) d (dot) e (dot) f (dot) g (dot) org", "email", "x (at) a (dot) b (dot) c (dot) d (dot) e (dot) f (dot) g (dot) org"),
+        ("to " + "n" * 70 + " (at) mail (dot) org", "email", "n" * 70 + " (at) mail (dot) org"),
+        ("escribe a ana arroba correo punto es hoy", "email", "ana arroba correo punto es"),
+        ("an hans.mann [at] post [punkt] de heute", "email", "hans.mann [at] post [punkt] de"),
+        ("appelez plus un cinq cinq cinq deux trois quatre six sept huit neuf", "phone", "plus un cinq cinq cinq deux trois quatre six sept huit neuf"),
+        ("Karte vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins ok", "card", "vier eins eins eins eins eins eins eins eins eins eins eins eins eins eins eins"),
         ("mail jаne@exаmple.com ok", "email", "jаne@exаmple.com"),
         ("mail jane@ex​ample.com ok", "email", "jane@ex​ample.com"),
         ("host 10 dot 0 dot 0 dot 1 ok", "ip", "10 dot 0 dot 0 dot 1"),
@@ -278,6 +286,10 @@ def test_disguises_map_back_to_the_source(text, kind, part):
         "one two three four five and so on",
         "look at example. org charts are there",
         "version 1.2.3 at 10 dot 5",
+        "hello @user point taken",
+        "el punto de vista at noon punto",
+        "un deux trois soleil",
+        "( " * 2000 + " " * 5000 + "@" * 2000,
     ],
 )
 def test_clean_texts_stay_clean(text):
