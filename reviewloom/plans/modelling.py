@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators.durable import stored
 from reviewloom.operators.learning import (
-    assign_groups,
-    fit_groups,
     fit_logistic_regression,
     fit_neural_network,
     scores,
     with_features,
 )
+from reviewloom.operators.lloyd import lloyd
 from reviewloom.operators.sampling import PAIR, Hash, fast_hash, stratified_split
 from reviewloom.operators.stats import area_under_roc, confusion_matrix
 from reviewloom.plans.preparation import Prepared, Settings, training_set
@@ -65,7 +64,10 @@ def evaluate(scored: DataFrame) -> Evaluation:
     )
 
 
-def entity_groups(entities: DataFrame, entity: str, k: int, seed: int = 1) -> DataFrame:
+def entity_groups(
+    entities: DataFrame, entity: str, k: int, size: int, hashed: Hash = fast_hash
+) -> DataFrame:
     """Users or businesses in ``k`` groups by their mean vectors: id and ``group``."""
-    rows = with_features(entities, F.col(f"{entity}_vec"))
-    return assign_groups(fit_groups(rows, k, seed), rows).select(f"{entity}_id", "group")
+    key, vector = f"{entity}_id", f"{entity}_vec"
+    rows = with_features(entities, F.col(vector)).select(key, vector)
+    return lloyd(stored(rows, "points"), key, vector, size, k, hashed=hashed)

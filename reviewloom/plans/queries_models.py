@@ -6,16 +6,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from reviewloom.functions.vectors import as_doubles, length
-from reviewloom.operators import learning, stats
+from reviewloom.operators import learning, sampling, stats
 from reviewloom.operators.durable import stored
-from reviewloom.operators.entity_vectors import ENTITIES, entity_means
+from reviewloom.operators.entity_vectors import ENTITIES, entity_means, review_sums
 from reviewloom.operators.groups import attach_groups, group_keywords
 from reviewloom.operators.tfidf import keywords_per_label
-from reviewloom.operators.vocabulary import spell_words
+from reviewloom.operators.vocabulary import code_words, spell_words
 from reviewloom.plans import sql as S
 from reviewloom.plans.modelling import baseline, deep_learning, entity_groups, evaluate
 from reviewloom.plans.preparation import Settings, prepare
-from reviewloom.plans.queries_vectors import _inputs, _review_sums
+from reviewloom.plans.queries_vectors import MODES, TOP, _inputs, _kept, _review_sums, group_parts
 from reviewloom.plans.registry import query, rounded
 from reviewloom.sources import tables
 from reviewloom.sources.recipes import recipe_word_lists
@@ -89,12 +89,32 @@ def pca_variance(spark, folder):
 GROUPS = {"user": 20, "business": 10}
 
 
+def _group_sql(entity):
+    """``<entity>_grp``: id (as text) and grp."""
+    key = f"{entity}_id"
+    return (
+        S.entity_means(entity)
+        | {f"{entity}_points": f"SELECT {key}::varchar AS id, dim, value AS x FROM {entity}_mean"}
+        | S.lloyd(f"{entity}_grp", f"{entity}_points", GROUPS[entity])
+    )
+
+
 def _grouped(sums, entity):
     means = stored(entity_means(sums, entity), "means")
-    return stored(entity_groups(means, entity, GROUPS[entity]), "groups")
+    found = entity_groups(means, entity, GROUPS[entity], S.SIZE, hashed=sampling.spread_hash)
+    return stored(found, "groups")
 
 
-@query("kmeans_sizes")
+@query(
+    "kmeans_sizes",
+    S.with_parts(
+        S.review_sums("tfidf") | _group_sql("user") | _group_sql("business"),
+        """
+SELECT 'user' AS entity, grp::int AS "group", count(*) AS members FROM user_grp GROUP BY grp
+UNION ALL
+SELECT 'business', grp::int, count(*) FROM business_grp GROUP BY grp""",
+    ),
+)
 def kmeans_sizes(spark, folder):
     sums = _review_sums(spark, folder, "tfidf")
 
@@ -107,26 +127,51 @@ def kmeans_sizes(spark, folder):
     return sizes("user").unionByName(sizes("business"))
 
 
-@query("kmeans_keywords")
+def _counts_and_groups(spark, folder, entity):
+    counts, vectors, vocab = _kept(spark, folder)
+    counts = stored(counts, "kept-counts")
+    sums = review_sums(counts, code_words(vectors, vocab), S.SIZE, MODES["tfidf"])
+    return counts, vocab, _grouped(sums, entity)
+
+
+def _keyword_sql(entity):
+    given = group_parts(entity)
+    found = {"groups": f"SELECT r.{entity}_id, g.grp FROM (SELECT DISTINCT {entity}_id FROM counts) r JOIN {entity}_grp g ON r.{entity}_id::varchar = g.id"}
+    rest = {name: part for name, part in given.items() if name not in {*S.kept(), "entities", "groups"}}
+    return S.review_sums("tfidf") | _group_sql(entity) | found | rest
+
+
+@query(
+    "kmeans_keywords",
+    S.with_parts(
+        _keyword_sql("business") | {"top": TOP},
+        """
+SELECT arg_position, arg_label, list(word ORDER BY rank) AS words
+FROM top GROUP BY arg_position, arg_label""",
+    ),
+)
 def kmeans_keywords(spark, folder):
     """The telling words of groups found by k-means, one list per group."""
-    reviews, vocab, vectors = _inputs(spark, folder)
-    prepared = prepare(reviews, vocab, vectors, Settings(S.SIZE))
-    entity = "business"
-    grouped = stored(entity_groups(prepared.businesses, entity, GROUPS[entity]), "groups")
+    counts, vocab, grouped = _counts_and_groups(spark, folder, "business")
     codes = vocab.select(F.col("idx").alias("word"))
-    top = group_keywords(prepared.counts, grouped, codes, entity)
+    top = group_keywords(counts, grouped, codes, "business")
     return keywords_per_label(spell_words(top, vocab))
 
 
-@query("grouped_words")
+@query(
+    "grouped_words",
+    S.with_parts(
+        S.review_sums("tfidf") | _group_sql("user"),
+        """
+SELECT c.user_id, c.word, c.n, g.grp::int AS "group"
+FROM counts c JOIN user_grp g ON c.user_id::varchar = g.id""",
+    ),
+)
 def grouped_words(spark, folder):
     """Words of each user with the user's group."""
-    reviews, vocab, vectors = _inputs(spark, folder)
-    prepared = prepare(reviews, vocab, vectors, Settings(S.SIZE))
-    grouped = stored(entity_groups(prepared.users, "user", GROUPS["user"]), "groups")
-    counts = spell_words(prepared.counts.select("user_id", "word", "n"), vocab)
-    return attach_groups(counts, grouped, "user")
+    counts, vocab, grouped = _counts_and_groups(spark, folder, "user")
+    words = spell_words(counts.select("user_id", "word", "n"), vocab)
+    return attach_groups(words, grouped, "user")
 
 
 @query("pca_points")

@@ -436,7 +436,7 @@ def stratified_split(spark, folder):
     return sampling.stratified_split(events, "y", "key", hashed=sampling.spread_hash)
 
 
-def _group_parts(entity):
+def group_parts(entity):
     key = f"{entity}_id"
     number = key if entity == "user" else "dense_rank() OVER (ORDER BY business_id) - 1"
     return (
@@ -479,7 +479,7 @@ def _top_words(spark, folder, entity, averaged=False):
     return spell_words(top, vocab)
 
 
-_TOP = """
+TOP = """
 SELECT arg_position, arg_label, word,
        row_number() OVER (ORDER BY round(stdev, 9) DESC, word)::int AS rank
 FROM wl QUALIFY rank <= 500"""
@@ -487,7 +487,7 @@ FROM wl QUALIFY rank <= 500"""
 
 def _averaged_group_parts(entity):
     key = f"{entity}_id"
-    given = {name: part for name, part in _group_parts(entity).items() if name not in ("pos", "grid", "wl")}
+    given = {name: part for name, part in group_parts(entity).items() if name not in ("pos", "grid", "wl")}
     return (
         given
         | S.entity_weights(entity)
@@ -503,13 +503,13 @@ GROUP BY ALL""",
 
 
 def _register_group_keywords(entity):
-    @query(f"group_keywords_{entity}", S.with_parts(_group_parts(entity), _TOP))
+    @query(f"group_keywords_{entity}", S.with_parts(group_parts(entity), TOP))
     def group_keywords(spark, folder):
         return _top_words(spark, folder, entity)
 
     @query(
         f"group_keywords_averaged_{entity}",
-        S.with_parts(_averaged_group_parts(entity), _TOP),
+        S.with_parts(_averaged_group_parts(entity), TOP),
     )
     def group_keywords_averaged(spark, folder):
         return _top_words(spark, folder, entity, averaged=True)
@@ -517,7 +517,7 @@ def _register_group_keywords(entity):
     @query(
         f"group_report_{entity}",
         S.with_parts(
-            _group_parts(entity) | {"top": _TOP},
+            group_parts(entity) | {"top": TOP},
             """
 SELECT arg_position, arg_label, list(word ORDER BY rank) AS words
 FROM top GROUP BY arg_position, arg_label""",
@@ -529,7 +529,7 @@ FROM top GROUP BY arg_position, arg_label""",
     @query(
         f"words_of_groups_{entity}",
         S.with_parts(
-            _group_parts(entity),
+            group_parts(entity),
             f"""
 SELECT c.{entity}_id, c.word, c.n, g.grp AS "group"
 FROM counts c JOIN groups g ON c.{entity}_id = g.{entity}_id""",

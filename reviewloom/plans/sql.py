@@ -238,3 +238,28 @@ ANTI JOIN seen_rows s ON u.user_id = s.user_id AND b.business_id = s.business_id
 SELECT candidate, user_id, business_id FROM fresh
 QUALIFY row_number() OVER (ORDER BY candidate) <= (SELECT n FROM seen_n)""",
     }
+
+
+def lloyd(name: str, points: str, k: int, steps: int = 10) -> dict[str, str]:
+    """``name``: id, grp of the subquery ``points`` (id, dim, x), by unrolled steps."""
+    parts = {
+        f"{name}_p": f"""
+SELECT * FROM {points} WHERE id NOT IN (
+  SELECT id FROM {points} WHERE x IS NULL OR isnan(x))""",
+        f"{name}_first": f"""
+SELECT id, row_number() OVER (ORDER BY {spread_hash('id', 'seed')}, id) - 1 AS grp
+FROM (SELECT DISTINCT id FROM {name}_p) QUALIFY grp < {k}""",
+        f"{name}_c0": f"SELECT f.grp, p.dim, p.x AS c FROM {name}_first f JOIN {name}_p p USING (id)",
+    }
+    for step in range(steps + 1):
+        last = name if step == steps else f"{name}_g{step}"
+        parts[last] = f"""
+SELECT id, arg_min(grp, (distance, grp)) AS grp
+FROM (SELECT p.id, m.grp, round(sum((p.x - m.c) * (p.x - m.c)), 9) AS distance
+      FROM {name}_p p JOIN {name}_c{step} m USING (dim) GROUP BY ALL) GROUP BY id"""
+        if step < steps:
+            parts[f"{name}_c{step + 1}"] = f"""
+SELECT o.grp, o.dim, coalesce(n.c, o.c) AS c FROM {name}_c{step} o LEFT JOIN (
+  SELECT g.grp, p.dim, avg(p.x) AS c FROM {name}_p p JOIN {last} g USING (id) GROUP BY ALL) n
+USING (grp, dim)"""
+    return parts
