@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm import line_dedup, mixing, packing, shingles, simhash, toxicity
 from reviewloom.llm.common import read, ship
-from reviewloom.llm.components import joined
 from reviewloom.llm.queries import tokenizer_files
 from reviewloom.operators.durable import shared_folder
 
@@ -46,8 +45,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     ship(spark)
     rows = simhash.numbered(docs)
-    groupings = simhash.near_copies(rows, simhash.ROW), shingles.linked(rows, simhash.ROW)
-    return simhash.first_of_each(rows, joined(rows, simhash.ROW, *groupings))
+    near = simhash.near_copies(rows, simhash.ROW)
+    return simhash.first_of_each(rows, shingles.linked(rows, simhash.ROW, given=near))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

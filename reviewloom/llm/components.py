@@ -47,19 +47,3 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
             break
         mark = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
-def joined(rows: DataFrame, key: str, *groupings: DataFrame) -> DataFrame:
-    """``key`` and ``component_id`` of groups that any of several groupings holds together.
-
-    A grouping has ``key``, which no two rows share, and ``component_id``, a key of its group.
-    """
-    links = None
-    for one in groupings:
-        some = one.select(F.col(key).alias("a"), F.col("component_id").alias("b")).where("a <> b")
-        links = some if links is None else links.unionByName(some)
-    found = components(links, "a", "b")
-    own = rows.select(F.col(key).alias("_own"))
-    return own.join(found, F.col("_own") == F.col("node"), "left").select(
-        F.col("_own").alias(key), F.coalesce("root", "_own").alias("component_id")
-    )

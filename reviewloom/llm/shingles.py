@@ -117,20 +117,26 @@ def _shared(dealt: DataFrame) -> DataFrame:
     return stored(dealt.join(open_ones, "bucket"), "members")
 
 
-def linked(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+def linked(rows: DataFrame, key: str, text: str = "text", given: DataFrame | None = None) -> DataFrame:
     """``key`` and ``component_id`` of rows with a unique, not null ``key`` (a bigint).
 
     Texts link at ``LEAST`` or more of their distinct shingles, or with the same words;
     the component is the smallest key reachable by links. Empty and null texts are copies
-    of each other. The rows have to be a written table.
+    of each other. The rows have to be a written table. ``given`` (``key`` and
+    ``component_id``) are groups that hold already, of rows with the same words at least;
+    their members are not compared again.
     """
     signs = _signatures(rows, key, text)
     points = stored(signs.groupBy("point").agg(F.min("row").alias("node")), "points")
     one = signs.join(points.select(F.col("node").alias("row")), "row", "left_semi")
-    dealt = one.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"), F.col("row").alias("root"))
-    members = _shared(dealt)
-    sets = _sets(rows, key, text, members.select("node").distinct())
     found, many = None, 1
+    if given is not None:
+        own = given.select(F.col(key).alias("node"), F.col("component_id").alias("root"))
+        found = stored(own.where("node <> root").join(points.select("node"), "node", "left_semi"), "given")
+        one = one.join(found.withColumnRenamed("node", "row"), "row", "left")
+    root = F.col("row") if given is None else F.coalesce("root", "row")
+    members = _shared(one.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"), root.alias("root")))
+    sets = _sets(rows, key, text, members.select("node").distinct())
     while not members.isEmpty():
         # The same for all buckets, so that a pair that shares several is compared once.
         salt = F.pmod(F.xxhash64("node", F.lit(many)), F.lit(many))
