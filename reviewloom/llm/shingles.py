@@ -68,39 +68,35 @@ def similar(left: bytes, right: bytes) -> bool:
 
 
 def _signatures(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``row``, ``point`` (equal for equal words) and ``bands``."""
+    """``row``, ``point`` (equal for equal words), ``size`` (distinct shingles) and ``bands``."""
     some = rows.select(F.col(key).alias("row"), text_of(F.col(text)).alias("text"))
 
     def function(batch: dict[str, list]) -> dict[str, list]:
         words = [words_of(x) for x in batch["text"]]
         points = [xxhash.xxh64_intdigest(b" ".join(x), SEED + 1) for x in words]
         points = np.array(points, np.uint64).view(np.int64).tolist()
-        return {"row": batch["row"], "point": points, "bands": [bands(shingles(x)) for x in words]}
+        sets = [shingles(x) for x in words]
+        sizes = [len(x) for x in sets]
+        return {"row": batch["row"], "point": points, "size": sizes, "bands": [bands(x) for x in sets]}
 
-    return stored(by_batch(some, function, "row bigint, point bigint, bands array<bigint>"), "bands")
+    return stored(by_batch(some, function, "row bigint, point bigint, size bigint, bands array<bigint>"), "bands")
 
 
 def _sets(rows: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
-    """``node``, ``size`` and ``hashes`` of the texts that share a bucket with another."""
+    """``node`` and ``hashes`` of the texts that share a bucket with another."""
     some = rows.select(F.col(key).alias("node"), text_of(F.col(text)).alias("text"))
     some = some.join(nodes, "node", "left_semi")
 
     def function(batch: dict[str, list]) -> dict[str, list]:
         found = [shingles(words_of(x)) for x in batch["text"]]
-        return {"node": batch["node"], "size": [len(x) for x in found], "hashes": [x.tobytes() for x in found]}
+        return {"node": batch["node"], "hashes": [x.tobytes() for x in found]}
 
-    return stored(by_batch(some, function, "node bigint, size bigint, hashes binary"), "shingles")
+    return stored(by_batch(some, function, "node bigint, hashes binary"), "shingles")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs ``a``, ``b`` those of similarity ``LEAST`` or more."""
-    sizes = sets.select("node", "size")
-    left = sizes.select(F.col("node").alias("a"), F.col("size").alias("m"))
-    right = sizes.select(F.col("node").alias("b"), F.col("size").alias("n"))
-    # Sets of very different sizes cannot be similar, whatever they share.
-    close = F.least("m", "n") >= F.lit(LEAST) * F.greatest("m", "n") - F.lit(1e-9)
-    fit = stored(pairs.join(left, "a").join(right, "b").where(close).select("a", "b"), "pairs")
-    both = fit.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
 
     def function(batch: dict[str, list]) -> dict[str, list]:
@@ -111,7 +107,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
-    """``bucket``, ``node``, ``root`` of the buckets that hold several components."""
+    """``bucket``, ``node``, ``size``, ``root`` of the buckets that hold several components."""
     ends = dealt.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     open_ones = stored(ends.where("low <> high").select("bucket"), "buckets")
     return stored(dealt.join(open_ones, "bucket"), "members")
@@ -135,23 +131,30 @@ def linked(rows: DataFrame, key: str, text: str = "text", given: DataFrame | Non
         found = stored(own.where("node <> root").join(points.select("node"), "node", "left_semi"), "given")
         one = one.join(found.withColumnRenamed("node", "row"), "row", "left")
     root = F.col("row") if given is None else F.coalesce("root", "row")
-    members = _shared(one.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"), root.alias("root")))
+    members = _shared(
+        one.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"), "size", root.alias("root"))
+    )
     sets = _sets(rows, key, text, members.select("node").distinct())
     while not members.isEmpty():
         # The same for all buckets, so that a pair that shares several is compared once.
         salt = F.pmod(F.xxhash64("node", F.lit(many)), F.lit(many))
-        chosen = members.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("node", "root")).alias("r"))
-        chosen = stored(chosen.select("bucket", F.col("r.node").alias("to"), F.col("r.root").alias("to_root")), "chosen")
-        pairs = members.join(chosen, "bucket").where("root <> to_root")
+        chosen = members.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("node", "root", "size")).alias("r"))
+        names = [F.col("r.node").alias("to"), F.col("r.root").alias("to_root"), F.col("r.size").alias("to_size")]
+        chosen = stored(chosen.select("bucket", *names), "chosen")
+        # Sets of very different sizes cannot be similar, whatever they share.
+        close = F.least("size", "to_size") >= F.lit(LEAST) * F.greatest("size", "to_size") - F.lit(1e-9)
+        pairs = members.join(chosen, "bucket").where((F.col("root") != F.col("to_root")) & close)
         pairs = pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
         links = _verified(pairs, sets)
         if found is not None:
             links = links.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
         found = stored(components(links, "a", "b"), "found")
-        left = members.select("bucket", "node").join(
+        left = members.select("bucket", "node", "size").join(
             chosen.select("bucket", F.col("to").alias("node")), ["bucket", "node"], "left_anti"
         )
-        left = left.join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        left = left.join(found, "node", "left").select(
+            "bucket", "node", "size", F.coalesce("root", "node").alias("root")
+        )
         members = _shared(left)
         many *= GROWTH
     if found is not None:
