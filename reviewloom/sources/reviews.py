@@ -34,7 +34,7 @@ FILTER_FILE = (
 )
 FULL_FILE = f"array<{FULL_RECORD}>"
 
-# Reviews with integer ids.
+# Names and types of reviews with integer ids.
 REVIEWS_SCHEMA = T.StructType(
     [
         T.StructField("business_id", T.IntegerType(), True),

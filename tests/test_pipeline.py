@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from reviewloom.operators.durable import remove_stored, stored
-from reviewloom.plans.from_files import Files, evaluated, learned, numbered_reviews
+from reviewloom.plans.from_files import Files, evaluated, learned, numbered_reviews, reported
 from reviewloom.plans.preparation import Settings, prepare
 
 FOODS = ["soup", "bread", "salad", "pizza", "pasta", "rice", "curry", "beans", "fish", "cake"]
@@ -54,6 +54,13 @@ def test_from_files_to_scores(spark, tmp_path):
     cells = found.confusion.collect()
     for y in (0, 1):
         assert sum(c["rows"] for c in cells if c["truth"] == y) == sum(row["y"] == y for row in scored)
+    report = reported(spark, loaded, "business", 3, top=8).collect()
+    words = [word for row in report for word in row["words"]]
+    assert len(words) == len(set(words)) <= 8 and set(words) <= set(FOODS)
+    assert sorted(row["arg_position"] for row in report) == sorted({row["arg_position"] for row in report})
+    fewer = replace(files, kept=str(tmp_path / "fewer"), stop_words=("soup",), max_df=0.9)
+    assert {row["word"] for row in learned(spark, fewer)[0].collect()} == set(FOODS) - {"soup"}
+
     pairs = [(a["score"], b["score"]) for a in scored for b in scored if a["y"] > b["y"]]
     wins = sum((a > b) + (a == b) / 2 for a, b in pairs)
     assert found.auc.first()["auc"] == pytest.approx(wins / len(pairs))
