@@ -3,8 +3,10 @@
 A pair of Jaccard similarity ``j`` meets in a band of ``DEPTH`` minima with chance
 ``j ** DEPTH``; with ``BANDS`` independent bands 0.07 % of the pairs at 0.8 meet in none, and
 fewer above. In each band members of a bucket are compared with representatives of it, which
-leave it then; buckets whose members are all of one component are done. So no pair of a
-bucket is left out, and a large group of copies costs about one comparison per member.
+leave it then; buckets whose members are all of one component are done. From the second round
+on a bucket with few members outside its largest component ends at once: each of them is
+compared with all. So no pair of a bucket is left out, and a large group of copies costs about
+one comparison per member.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from reviewloom.operators.durable import stored
 
 WIDTH, LEAST, SEED = 5, 0.8, 42
 BANDS, DEPTH = 24, 6
-# Representatives of a bucket grow by this factor from round to round.
-GROWTH = 8
+# Representatives of a bucket grow by this factor from round to round, at least.
+GROWTH = 64
+# A bucket with so many members outside its largest component ends in the next round.
+FEW = 64
 _PART = 2048
 
 _draw = np.random.default_rng(SEED)
@@ -95,21 +99,37 @@ def _sets(rows: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs ``a``, ``b`` those of similarity ``LEAST`` or more."""
+    """``low`` and ``high``, the roots of the pairs ``a``, ``b`` of similarity ``LEAST`` or more."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
 
     def function(batch: dict[str, list]) -> dict[str, list]:
         near = [similar(x, y) for x, y in zip(batch["x"], batch["y"], strict=True)]
-        return {name: [v for v, ok in zip(batch[name], near, strict=True) if ok] for name in ("a", "b")}
+        return {name: [v for v, ok in zip(batch[name], near, strict=True) if ok] for name in ("low", "high")}
 
-    return stored(by_batch(both.select("a", "b", "x", "y"), function, "a bigint, b bigint"), "similar")
+    return stored(by_batch(both.select("low", "high", "x", "y"), function, "low bigint, high bigint"), "similar")
+
+
+def _joined(found: DataFrame | None, roots: DataFrame) -> DataFrame:
+    """Groups whose roots hang on others now. Both have ``node`` and ``root``; no root is a node of ``found``."""
+    if found is None:
+        return roots
+    moved = roots.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return found.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(roots)
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
-    """``bucket``, ``node``, ``size``, ``root`` of the buckets that hold several components."""
-    ends = dealt.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    open_ones = stored(ends.where("low <> high").select("bucket"), "buckets")
+    """``bucket``, ``node``, ``size``, ``root`` of the buckets that hold several components.
+
+    ``main`` is the largest component of the bucket, ``few`` says that at most ``FEW`` members
+    lie outside it.
+    """
+    sizes = dealt.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    ends = sizes.groupBy("bucket").agg(
+        F.count("*").alias("roots"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most")
+    )
+    few = (F.col("all") - F.col("most.n") <= FEW).alias("few")
+    open_ones = stored(ends.where("roots > 1").select("bucket", F.col("most.root").alias("main"), few), "buckets")
     return stored(dealt.join(open_ones, "bucket"), "members")
 
 
@@ -125,7 +145,7 @@ def linked(rows: DataFrame, key: str, text: str = "text", given: DataFrame | Non
     signs = _signatures(rows, key, text)
     points = stored(signs.groupBy("point").agg(F.min("row").alias("node")), "points")
     one = signs.join(points.select(F.col("node").alias("row")), "row", "left_semi")
-    found, many = None, 1
+    found, many, first = None, 1, None
     if given is not None:
         own = given.select(F.col(key).alias("node"), F.col("component_id").alias("root"))
         found = stored(own.where("node <> root").join(points.select("node"), "node", "left_semi"), "given")
@@ -135,26 +155,33 @@ def linked(rows: DataFrame, key: str, text: str = "text", given: DataFrame | Non
         one.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"), "size", root.alias("root"))
     )
     sets = _sets(rows, key, text, members.select("node").distinct())
-    while not members.isEmpty():
+    while rest := members.count():
+        first = first or rest
+        # Few members may meet many representatives: a round proposes no more than the first ones did.
+        many = max(many, GROWTH * first // rest) if many > 1 else many
         # The same for all buckets, so that a pair that shares several is compared once.
         salt = F.pmod(F.xxhash64("node", F.lit(many)), F.lit(many))
-        chosen = members.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("node", "root", "size")).alias("r"))
+        last = F.col("few") & F.lit(many > 1)
+        salt = F.when(last, F.col("node")).otherwise(salt)
+        chosen = members.where(~last | (F.col("root") != F.col("main"))).groupBy("bucket", salt.alias("salt"))
+        chosen = chosen.agg(F.min(F.struct("node", "root", "size")).alias("r"))
         names = [F.col("r.node").alias("to"), F.col("r.root").alias("to_root"), F.col("r.size").alias("to_size")]
         chosen = stored(chosen.select("bucket", *names), "chosen")
         # Sets of very different sizes cannot be similar, whatever they share.
         close = F.least("size", "to_size") >= F.lit(LEAST) * F.greatest("size", "to_size") - F.lit(1e-9)
         pairs = members.join(chosen, "bucket").where((F.col("root") != F.col("to_root")) & close)
-        pairs = pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-        links = _verified(pairs, sets)
-        if found is not None:
-            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        found = stored(components(links, "a", "b"), "found")
-        left = members.select("bucket", "node", "size").join(
+        ends = [F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")]
+        roots = [F.least("root", "to_root").alias("low"), F.greatest("root", "to_root").alias("high")]
+        links = _verified(pairs.select(*ends, *roots).distinct(), sets)
+        if not links.isEmpty():
+            found = stored(_joined(found, components(links, "low", "high")), "found")
+        left = members.where(~last).select("bucket", "node", "size").join(
             chosen.select("bucket", F.col("to").alias("node")), ["bucket", "node"], "left_anti"
         )
-        left = left.join(found, "node", "left").select(
-            "bucket", "node", "size", F.coalesce("root", "node").alias("root")
-        )
+        if found is not None:
+            left = left.join(found, "node", "left")
+        root = F.col("node") if found is None else F.coalesce("root", "node")
+        left = left.select("bucket", "node", "size", root.alias("root"))
         members = _shared(left)
         many *= GROWTH
     if found is not None:
