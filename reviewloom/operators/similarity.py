@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,47 +42,94 @@ def analogy(
     )
 
 
-# So many questions fit into one array that every task holds.
-QUESTIONS_IN_BLOCK = 1_000
+# Questions in a block and words in a slot, about: a block meets a slot in one task.
+QUESTIONS_IN_BLOCK, WORDS_IN_SLOT = 1_024, 8_192
+# Questions per matrix product; what products may be off by.
+_AT_ONCE, _SLACK = 64, 1e-9
+
+
+def _usable(vector, size: int):
+    return (F.size(vector) == size) & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) <= 1.0 + _SLACK))
+
+
+def _best_in_slots(units: DataFrame, asked: DataFrame, size: int, top: int) -> DataFrame:
+    """``question``, ``word``, ``similarity``: the ``top`` words of each slot of words.
+
+    Blocks of questions are sent to every slot and words to every block, so that no row holds
+    a word and a question. A product of matrices finds the words that may be among the best;
+    only their cosines are then added up in the order of the components.
+    """
+    blocks = max(1, math.ceil(asked.count() / QUESTIONS_IN_BLOCK))
+    slots = max(1, math.ceil(units.count() / WORDS_IN_SLOT))
+
+    def each(number: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+
+    words = units.withColumn("slot", F.pmod("row", F.lit(slots)).cast("int")).withColumn("block", each(blocks))
+    block = F.pmod(F.xxhash64("question"), F.lit(blocks)).cast("int")
+    questions = asked.withColumn("block", block).withColumn("slot", each(slots))
+
+    def meet(some: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        found: dict[str, list] = {"question": [], "word": [], "similarity": []}
+        if len(some) and len(asking):
+            order = np.argsort(some["word"].to_numpy(object), kind="stable")
+            names = some["word"].to_numpy(object)[order]
+            matrix = np.stack(some["vec"].to_numpy())[order].astype(np.float64)
+            places: dict[str, list[int]] = {}
+            for place, name in enumerate(names):
+                places.setdefault(name, []).append(place)
+            wanted = np.stack(asking["vec"].to_numpy()).astype(np.float64)
+            keys, given = asking["question"].tolist(), asking["given"].tolist()
+            for start in range(0, len(keys), _AT_ONCE):
+                products = wanted[start : start + _AT_ONCE] @ matrix.T
+                for own, row in enumerate(products, start):
+                    row[[place for name in given[own] for place in places.get(name, ())]] = -np.inf
+                    least = np.partition(row, -top)[-top] if len(row) > top else -np.inf
+                    near = np.flatnonzero((row >= least - _SLACK) & (row > -np.inf))
+                    cosines = np.zeros(len(near))
+                    for at in range(size):
+                        cosines += matrix[near, at] * wanted[own, at]
+                    # Places go by the word, so a stable sort leaves equal ones in that order.
+                    best = np.argsort(-cosines, kind="stable")[:top]
+                    found["question"] += [keys[own]] * len(best)
+                    found["word"] += names[near[best]].tolist()
+                    found["similarity"] += cosines[best].tolist()
+        # Plain objects: a text column of another kind may come in several chunks.
+        return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in found.items()})
+
+    kind = asked.schema["question"].dataType.simpleString()
+    return (
+        words.groupBy("slot", "block")
+        .cogroup(questions.groupBy("slot", "block"))
+        .applyInPandas(meet, f"question {kind}, word string, similarity double")
+    )
 
 
 def analogies(vectors: DataFrame, questions: DataFrame, size: int, top: int = 10) -> DataFrame:
-    """:func:`analogy` for a table: ``question``, ``base``, ``version``, ``target``.
+    """:func:`analogy` for a table: ``question`` (a key), ``base``, ``version``, ``target``.
 
-    Gives ``question``, ``word``, ``similarity``, ``rank``. All words are scored against the
-    questions, which reach the tasks in blocks; each input partition keeps ``top`` words of
-    a question before the shuffle. Words of zero length and questions with an unknown, null
-    or repeated word give no row.
+    Gives ``question``, ``word``, ``similarity``, ``rank``. Blocks of questions meet slots of
+    words, and each meeting keeps ``top`` words of a question. Words whose vector is zero, not
+    finite or of another length, and questions with an unknown, null or repeated word, give no
+    row.
     """
     units = vectors.select("word", V.unit(F.col("vec")).alias("vec"))
-    units = stored(units.where(F.get("vec", F.lit(0)).isNotNull()), "units")
+    units = units.where(F.col("word").isNotNull() & _usable("vec", size))
+    units = stored(units.withColumn("row", F.monotonically_increasing_id()), "units")
     roles = F.array(
         F.struct(F.lit(-1.0).alias("sign"), F.col("base").alias("word")),
         F.struct(F.lit(1.0).alias("sign"), F.col("version").alias("word")),
         F.struct(F.lit(1.0).alias("sign"), F.col("target").alias("word")),
     )
     # One row per question and word of it.
-    given = questions.select("question", F.inline(roles)).join(units, "word")
+    given = questions.select("question", F.inline(roles)).join(units.drop("row"), "word")
     asked = given.groupBy("question").agg(
         F.collect_set("word").alias("given"),
         vector_sums(size, times=F.col("sign") / 3.0).alias("vec"),
     )
     asked = asked.where(F.size("given") == 3).withColumn("vec", V.unit(F.col("vec")))
-    asked = stored(asked, "questions")
-    blocks = max(1, math.ceil(asked.count() / QUESTIONS_IN_BLOCK))
-    block = F.pmod(F.xxhash64("question"), F.lit(blocks))
-    found = None
-    for number in range(blocks):
-        gathered = asked.where(block == number).agg(F.collect_list(F.struct("question", "given", "vec")))
-        scored = units.select("word", "vec", F.explode(gathered.scalar()).alias("asked"))
-        scored = scored.where(~F.array_contains("asked.given", F.col("word"))).select(
-            F.col("asked.question").alias("question"),
-            "word",
-            V.dot(F.col("vec"), F.col("asked.vec")).alias("similarity"),
-        )
-        best = _best(scored.where(F.col("similarity").isNotNull()), top)
-        found = best if found is None else found.unionByName(best)
-    return found
+    asked = stored(asked.where(_usable("vec", size)), "questions")
+    return _best(_best_in_slots(units, asked, size, top), top)
 
 
 def _best(scored: DataFrame, top: int) -> DataFrame:

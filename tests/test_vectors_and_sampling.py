@@ -1,4 +1,5 @@
 import math
+import random
 from decimal import Decimal
 
 import numpy as np
@@ -138,6 +139,39 @@ def test_analogy(spark):
     assert similarity.analogy(vectors, "man", "king", "nobody", 2).collect() == []
 
 
+@pytest.mark.parametrize(("in_block", "in_slot"), [(1, 1), (2, 3), (1000, 1000)])
+def test_analogies_over_blocks_and_slots(spark, monkeypatch, in_block, in_slot):
+    monkeypatch.setattr(similarity, "QUESTIONS_IN_BLOCK", in_block)
+    monkeypatch.setattr(similarity, "WORDS_IN_SLOT", in_slot)
+    draw = random.Random(4)
+    rows = [(f"w{n}", [draw.gauss(0, 1) for _ in range(3)]) for n in range(40)]
+    # Equal vectors go by the word; the last four words cannot be compared.
+    rows += [(f"x{n}", rows[7][1]) for n in range(12)]
+    rows += [("zero", [0.0] * 3), ("short", [1.0]), ("gap", [1.0, None, 2.0]), ("none", None), (None, [1.0, 2.0, 3.0])]
+    vectors = spark.createDataFrame(rows, "word string, vec array<double>")
+    asked = [(1, "w1", "w2", "w3"), (2, "w7", "x3", "w9"), (3, "w1", "w1", "w2"), (4, "w1", "zero", "w2")]
+    asked += [(5, "w1", None, "w2"), (6, "w4", "nobody", "w5"), (7, "w30", "w7", "x11")]
+    questions = spark.createDataFrame(asked, "question bigint, base string, version string, target string")
+    table = similarity.analogies(vectors, questions, 3, top=9)
+    found = sorted((r.question, r["rank"], r.word, round(r.similarity, 9)) for r in table.collect())
+    units = {}
+    for word, vec in rows[:52]:
+        units[word] = [x / math.sqrt(sum(y * y for y in vec)) for x in vec]
+    expected = []
+    for key, base, version, target in (asked[0], asked[1], asked[6]):
+        mean = [b + c - a for a, b, c in zip(units[base], units[version], units[target], strict=True)]
+        norm = math.sqrt(sum(x * x for x in mean))
+        scored = [
+            (-round(sum(x * y for x, y in zip(vec, mean, strict=True)) / norm, 9), word)
+            for word, vec in units.items()
+            if word not in (base, version, target)
+        ]
+        expected += [(key, n, word, -s) for n, (s, word) in enumerate(sorted(scored)[:9], 1)]
+    assert found == sorted(expected)
+    assert similarity.analogies(vectors, questions.limit(0), 3).count() == 0
+    assert similarity.analogies(vectors.limit(0), questions, 3).count() == 0
+
+
 @pytest.mark.parametrize("in_block", [1, 3, 100])
 def test_nearest_centre_over_blocks(spark, monkeypatch, in_block):
     monkeypatch.setattr(similarity, "CENTRES_IN_BLOCK", in_block)
