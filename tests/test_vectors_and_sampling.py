@@ -298,6 +298,29 @@ def test_split_is_exact_per_class(spark):
     assert sorted(split) == sorted(again)
 
 
+@pytest.mark.parametrize("balanced", [True, False])
+def test_logistic_regression_is_the_exact_minimum(spark, balanced):
+    draw = np.random.default_rng(5)
+    given = draw.normal(0, [1.0, 5.0, 0.2], (400, 3))
+    y = (given @ [1.5, -0.4, 2.0] - 1.0 + draw.logistic(0, 1, 400) > 0).astype(int)
+    rows = [(int(a), x.tolist()) for a, x in zip(y, given, strict=True)] + [(None, [1.0, 1.0, 1.0])]
+    df = learning.with_features(spark.createDataFrame(rows, "y int, x array<double>"), F.col("x"))
+    model = learning.fit_logistic_regression(df.repartition(5), c=0.7, balanced=balanced)
+    weight = np.where(y == 1, 200 / y.sum(), 200 / (400 - y.sum())) if balanced else np.ones(400)
+    wide = np.column_stack([given, np.ones(400)])
+    b, penalty = np.zeros(4), np.array([1.0, 1.0, 1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-wide @ b))
+        slope = 0.7 * wide.T @ (weight * (p - y)) + penalty * b
+        b -= np.linalg.solve(0.7 * wide.T @ (wide * (weight * p * (1 - p))[:, None]) + np.diag(penalty), slope)
+    np.testing.assert_allclose([*model.coefficients, model.intercept], b, atol=1e-6)
+    scored = learning.scores(model, df.where("y is not null")).select("x", "score", "predicted").collect()
+    for row in scored:
+        chance = 1 / (1 + math.exp(-(sum(i * j for i, j in zip(row.x, b, strict=False)) + b[3])))
+        assert row.score == pytest.approx(chance, abs=1e-6)
+    assert learning.fit_logistic_regression(df.limit(0)) == learning.LogisticModel((), 0.0)
+
+
 def test_classifiers_learn_planted_classes(spark):
     rng = np.random.default_rng(1)
     rows = [
