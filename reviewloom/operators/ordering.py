@@ -72,3 +72,18 @@ def running_sums(
         local = F.coalesce(F.sum(column).over(in_part), F.lit(0))
         added = added.withColumn(name, local + F.col(f"_{name}"))
     return added.drop(_SLOT, _PART, *[f"_{name}" for name in sums])
+
+
+def preceding(
+    df: DataFrame, order_by: Sequence[Column | str], columns: Mapping[str, Column]
+) -> DataFrame:
+    """Add for each name the value of its column in the row before; null in the first row."""
+    slots = _sorted_slots(df, order_by, "preceding")
+    values = F.struct(*[column.alias(name) for name, column in columns.items()])
+    lasts = slots.groupBy(_PART).agg(F.max_by(values, F.col(_SLOT)).alias("_last"))
+    # One row per partition of the sort, so always small.
+    carried = F.broadcast(lasts.select(_PART, F.lag("_last").over(Window.orderBy(_PART)).alias("_carried")))
+    in_part = F.lag(values).over(Window.partitionBy(_PART).orderBy(_SLOT))
+    added = slots.join(carried, _PART).withColumn("_before", F.coalesce(in_part, F.col("_carried")))
+    kept = [F.col(f"`{name}`") for name in df.columns]
+    return added.select(*kept, *[F.col("_before")[name].alias(name) for name in columns])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.durable import lookup, stored, stored_lookup
-from reviewloom.operators.ordering import numbered, running_sums
+from reviewloom.operators.ordering import numbered, preceding, running_sums
 
 PAIR = ("user_id", "business_id")
 
@@ -28,63 +28,82 @@ def fast_hash(number: Column, salt: str) -> Column:
 Hash = Callable[[Column, str], Column]
 
 
-def _drawn_pairs(rows: DataFrame, total: int, first: int, count: int, hashed: Hash) -> DataFrame:
-    """Candidates ``first``.. with a user and a business drawn independently from rows."""
-    spark = rows.sparkSession
-    draws = spark.range(first, first + count).select(
-        F.col("id").alias("candidate"),
-        (hashed(F.col("id"), "u") % total).alias("user_row"),
-        (hashed(F.col("id"), "b") % total).alias("business_row"),
-    )
-    users = rows.select(F.col("row").alias("user_row"), "user_id")
-    businesses = rows.select(F.col("row").alias("business_row"), "business_id")
-    return (
-        draws.join(users, "user_row")
-        .join(businesses, "business_row")
-        .select("candidate", *PAIR)
+def unseen_pairs(seen: DataFrame, hashed: Hash = fast_hash) -> DataFrame:
+    """As many random pairs that nobody has seen as there are seen rows with both ids.
+
+    ``candidate`` (from 0 on), ``user_id``, ``business_id``. A pair comes up with the chance
+    it has when user and business are drawn independently from the rows and seen pairs
+    are thrown away, so frequent ones come up more often, and a pair may repeat. Nothing
+    is thrown away here, however few pairs are left:
+
+    All businesses lie on a line, each on a stretch as long as its number of rows. What a
+    user has seen cuts this line into gaps. The gaps of all users, each as many times as
+    the user has rows, form a second line. A draw is a point on it: the gap it falls in
+    gives the user, and its place within the gap the business.
+
+    The rows of the second line are at most the seen pairs and the users. Both lines are
+    sums over a global order, so that a user or a business with a large part of all rows is
+    dealt over many tasks. The draws do not depend on the partitions. Rows without one of the
+    ids take no part; if no pair is left, it is an error.
+    """
+    rows = seen.where(F.col("user_id").isNotNull() & F.col("business_id").isNotNull()).select(*PAIR)
+    pairs = stored(rows.groupBy(*PAIR).agg(F.count("*").alias("n")), "known")
+    count = pairs.agg(F.sum("n")).first()[0] or 0
+    if count == 0:
+        return rows.select(F.lit(0).cast("bigint").alias("candidate"), *PAIR).where(F.lit(False))
+    businesses = _popularity_line(pairs)
+    gaps = stored(_gaps(pairs, businesses, count), "gaps")
+    found = gaps.agg(F.sum("weight").alias("whole"), F.count("*").alias("n")).first()
+    if not found["n"]:
+        raise ValueError("every user has seen every business: there is no unseen pair")
+    line = running_sums(gaps, ["user_id", "free_from"], {"first": F.col("weight")})
+    line = line.withColumn("end", F.col("first") + F.col("weight")).drop("weight")
+    # Two hashes of 48 bits, so that points lie close enough together on a long line.
+    high, low = (hashed(F.col("id"), salt).cast("decimal(15,0)") for salt in ("u", "b"))
+    point = (high * F.lit(1 << 48).cast("decimal(15,0)") + low) % F.lit(found["whole"])
+    points = seen.sparkSession.range(count).select(
+        F.col("id").alias("candidate"), point.cast(_LENGTH).alias("point")
     )
+    met = _stretch_of(points, line, int(found["whole"]), max(count, found["n"]), "gap-line")
+    inside = F.expr("cast((point - first) div user_n as bigint)")
+    placed = met.select("candidate", "user_id", (F.col("free_from") + inside).cast(_LENGTH).alias("point"))
+    return _stretch_of(placed, businesses, count, count, "business-line").select("candidate", *PAIR)
 
 
-# Below this share of candidates left, dense tables draw from the pairs that are left.
-_LEAST_SHARE = 1 / 64
+# Lengths of lines over pairs are products of two numbers of rows.
+_LENGTH = "decimal(38,0)"
 _CHUNK = 1 << 16
 
 
-def unseen_pairs(
-    seen: DataFrame, order_by: str = "review_id", hashed: Hash = fast_hash
-) -> DataFrame:
-    """As many random pairs that nobody has seen as there are seen rows.
-
-    Users and businesses are drawn independently from the rows, so the frequent ones come
-    up more often, and a pair may repeat. Candidates are numbered; those that are left
-    after the anti join count in that order. They come in rounds, each one a distributed
-    plan whose size follows from the share of candidates left so far, and at most as large
-    as all rounds before it; only counts return to the driver, and the result does not
-    depend on the rounds.
-
-    Where nearly every pair is seen, almost no candidate would be left. There the pairs
-    left over are at most a few times as many as the seen ones, so they are listed, and
-    drawn with the chances that the candidates would have given them.
+def _popularity_line(pairs: DataFrame) -> DataFrame:
+    """Each business with ``first`` and ``end`` of its stretch of the line (``stored``)."""
+    counts = pairs.groupBy("business_id").agg(F.sum("n").alias("n"))
+    line = running_sums(counts, ["business_id"], {"first": F.col("n")})
+    return stored(
+        line.select("business_id", F.col("first"), (F.col("first") + F.col("n")).alias("end")), "businesses"
+    )
+
+
+def _gaps(pairs: DataFrame, businesses: DataFrame, length: int) -> DataFrame:
+    """What each user has not seen of the line of businesses, as stretches without seen ones.
+
+    ``free_from`` on that line, ``user_n`` rows of the user, and ``weight``, the length of the
+    gap times ``user_n``. Gaps are found between neighbours in one order of all seen
+    stretches, in which a mark closes the line of each user.
     """
-    rows = numbered(seen.select(order_by, *PAIR), [order_by], "row").select("row", *PAIR)
-    total = rows.count()
-    if total == 0:
-        return rows.select(F.col("row").alias("candidate"), *PAIR)
-    known = stored(rows.select(*PAIR).distinct(), "known")
-    looked_up = lookup(known)
-    kept, have, drawn, size = None, 0, 0, 2 * total
-    while have < total:
-        candidates = _drawn_pairs(rows, total, drawn, size, hashed)
-        fresh = stored(candidates.join(looked_up, list(PAIR), "left_anti"), "unseen")
-        have, drawn = have + fresh.count(), drawn + size
-        if kept is None and have < drawn * _LEAST_SHARE:
-            left = _pairs_left(rows, known)
-            if left is not None:
-                return _drawn_by_weight(left, total, hashed)
-        kept = fresh if kept is None else kept.unionByName(fresh)
-        wanted = math.ceil(1.2 * max(total - have, 0) * drawn / max(have, 1)) + 1000
-        size = min(wanted, drawn)
-    return _first_by(kept.select("candidate", *PAIR), "candidate", total, drawn)
+    users = stored_lookup(pairs.groupBy("user_id").agg(F.sum("n").alias("user_n")), "user-rows")
+    known = pairs.join(lookup(businesses), "business_id").select("user_id", "first", "end")
+    end = F.lit(length).cast("bigint")
+    marks = users.select("user_id", end.alias("first"), end.alias("end"))
+    ordered = preceding(
+        known.unionByName(marks), ["user_id", "first"], {"_user": F.col("user_id"), "_end": F.col("end")}
+    )
+    free = F.when(F.col("_user") == F.col("user_id"), F.col("_end")).otherwise(F.lit(0).cast("bigint"))
+    open_ones = ordered.withColumn("free_from", free).where(F.col("free_from") < F.col("first"))
+    weight = (F.col("first") - F.col("free_from")).cast("decimal(19,0)") * F.col("user_n").cast("decimal(18,0)")
+    return open_ones.join(users, "user_id").select(
+        "user_id", "free_from", "user_n", weight.cast(_LENGTH).alias("weight")
+    )
 
 
 def _each_number(df: DataFrame, name: str, first: Column, last: Column) -> DataFrame:
@@ -94,73 +113,21 @@ def _each_number(df: DataFrame, name: str, first: Column, last: Column) -> DataF
     return chunks.withColumn(name, F.explode(numbers)).drop("_from")
 
 
-def _pairs_left(rows: DataFrame, known: DataFrame) -> DataFrame | None:
-    """The pairs that are not ``known``, with the product of their counts as ``weight``.
+def _stretch_of(points: DataFrame, line: DataFrame, length: int, buckets: int, label: str) -> DataFrame:
+    """Each ``point`` with the columns of the stretch from ``first`` to before ``end`` that holds it.
 
-    None if all pairs are more than four times as many as the known ones.
+    Points and stretches meet by equal buckets of the line; a long stretch lies in many of
+    them, so no stretch is a hot key, and all of them together make at most as many rows as
+    there are buckets more.
     """
-    users, businesses = (stored(rows.groupBy(x).agg(F.count("*").alias(f"{x}_n")), x) for x in PAIR)
-    side, seen = businesses.count(), known.count()
-    grid = users.count() * side
-    if seen == grid:
-        raise ValueError("every user has seen every business: there is no unseen pair")
-    if grid > 4 * seen:
-        return None
-    coded = stored_lookup(numbered(businesses, ["business_id"], "code"), "codes")
-    pairs = _each_number(users, "code", F.lit(0).cast("bigint"), F.lit(side - 1).cast("bigint")).join(coded, "code")
-    weight = F.col("user_id_n").cast("decimal(19,0)") * F.col("business_id_n").cast("decimal(18,0)")
-    left = pairs.join(known, list(PAIR), "left_anti")
-    return stored(left.select(*PAIR, weight.cast("decimal(38,0)").alias("weight")), "left")
+    width = f"cast('{length // buckets + 1}' as {_LENGTH})"
 
+    def bucket(place: str) -> Column:
+        return F.expr(f"cast(cast({place} as {_LENGTH}) div {width} as bigint)")
 
-def _drawn_by_weight(left: DataFrame, count: int, hashed: Hash = fast_hash) -> DataFrame:
-    """``count`` draws from the rows, each with a chance that goes with its ``weight``.
-
-    A draw is a point on a line on which every row owns a stretch as long as its weight.
-    Points and stretches meet by equal buckets of the line, as many as there are rows.
-    """
-    sums = left.agg(F.sum("weight").alias("all"), F.count("*").alias("n")).first()
-    whole, buckets = float(sums["all"]), sums["n"]
-
-    def bucket(point: Column) -> Column:
-        return F.floor(point / whole * buckets).cast("bigint")
-
-    placed = running_sums(left, list(PAIR), {"before": F.col("weight")})
-    line = placed.select(
-        *PAIR,
-        F.col("before").cast("double").alias("first"),
-        (F.col("before") + F.col("weight")).cast("double").alias("end"),
-    )
-    line = stored(_each_number(line, "bucket", bucket(F.col("first")), bucket(F.col("end"))), "line")
-    share = hashed(F.col("id"), "u") / float(1 << 48)
-    points = left.sparkSession.range(count).select(F.col("id").alias("candidate"), (share * whole).alias("point"))
+    dealt = stored_lookup(_each_number(line, "_bucket", bucket("first"), bucket("end - 1")), label)
     inside = (F.col("first") <= F.col("point")) & (F.col("point") < F.col("end"))
-    met = points.withColumn("bucket", bucket(F.col("point"))).join(line, "bucket").where(inside)
-    return met.select("candidate", *PAIR)
-
-
-# Numbers are counted in so many equal ranges to find where a count is reached.
-_COUNTED_RANGES = 4096
-
-
-def _first_by(rows: DataFrame, number: str, count: int, end: int) -> DataFrame:
-    """The ``count`` rows with the smallest of the different numbers from 0 to ``end``.
-
-    Numbers are counted per range; only the range in which the count is reached is sorted.
-    """
-    width = math.ceil(end / _COUNTED_RANGES)
-    part = F.floor(F.col(number) / width)
-    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    missing = count
-    # At most _COUNTED_RANGES rows.
-    for row in sizes.orderBy("part").collect():
-        if row["n"] >= missing:
-            inside = rows.where(part == row["part"]).select(number)
-            first = inside.orderBy(number).limit(missing)
-            last = first.agg(F.max(number).alias("last")).first()["last"]
-            return rows.where(F.col(number) <= last)
-        missing -= row["n"]
-    return rows
+    return points.withColumn("_bucket", bucket("point")).join(dealt, "_bucket").where(inside).drop("_bucket")
 
 
 def attach_vectors(pairs: DataFrame, users: DataFrame, businesses: DataFrame) -> DataFrame:

@@ -324,7 +324,7 @@ SELECT user_id, business_id, row_number() OVER (ORDER BY user_id, business_id, r
          review_text, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS review_id
 FROM reviews""",
         }
-        | S.unseen("numbered", "review_id"),
+        | S.unseen("numbered"),
         "SELECT candidate, user_id, business_id FROM unseen",
     ),
 )
@@ -340,7 +340,7 @@ _TRAINING = (
     | S.entity_means("business")
     | S.leave_one_out()
     | {"seen": "SELECT DISTINCT user_id, business_id, review_id FROM loo"}
-    | S.unseen("seen", "review_id")
+    | S.unseen("seen")
     | {
         "pairs": """
 SELECT concat('s', review_id) AS key, user_id, business_id, 1 AS y, dim,

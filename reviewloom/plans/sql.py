@@ -209,34 +209,38 @@ FROM rest WHERE user_c > 1 AND business_c > 1""",
     }
 
 
-def unseen(seen: str, order_by: str) -> dict[str, str]:
-    """``unseen``: as many pairs as there are rows, in the order of the candidates.
+def unseen(seen: str) -> dict[str, str]:
+    """``unseen``: as many unseen pairs as there are rows with both ids.
 
-    ``accepted`` is the share of candidates that is expected to be left.
+    A candidate is a point on the line that the gaps of all users make; see the operator.
     """
     return {
-        "seen_rows": f"""
-SELECT row_number() OVER (ORDER BY {order_by}) - 1 AS row, user_id, business_id FROM {seen}""",
-        "seen_n": "SELECT count(*) AS n FROM seen_rows",
-        "accepted": """
-SELECT 1 - sum(cu::double * cb) / (any_value(n)::double * any_value(n)) AS share
-FROM (SELECT DISTINCT user_id, business_id FROM seen_rows)
-JOIN (SELECT user_id, count(*) AS cu FROM seen_rows GROUP BY user_id) USING (user_id)
-JOIN (SELECT business_id, count(*) AS cb FROM seen_rows GROUP BY business_id)
-  USING (business_id), seen_n""",
-        "draws": f"""
-SELECT candidate, {spread_hash('candidate', 'u')} % n AS user_row,
-       {spread_hash('candidate', 'b')} % n AS business_row
-FROM (SELECT unnest(range((1.5 * n / share)::bigint + 1000)) AS candidate, n
-      FROM seen_n, accepted)""",
-        "fresh": """
-SELECT d.candidate, u.user_id, b.business_id
-FROM draws d JOIN seen_rows u ON d.user_row = u.row
-             JOIN seen_rows b ON d.business_row = b.row
-ANTI JOIN seen_rows s ON u.user_id = s.user_id AND b.business_id = s.business_id""",
+        "pair_n": f"""
+SELECT user_id, business_id, count(*) AS n FROM {seen}
+WHERE user_id IS NOT NULL AND business_id IS NOT NULL GROUP BY user_id, business_id""",
+        "user_n": "SELECT user_id, sum(n)::hugeint AS user_n FROM pair_n GROUP BY user_id",
+        "business_line": """
+SELECT business_id, sum(n) OVER (ORDER BY business_id)::hugeint AS upto, upto - n AS first
+FROM (SELECT business_id, sum(n)::hugeint AS n FROM pair_n GROUP BY business_id)""",
+        "gaps": """
+SELECT user_id, first, coalesce(lag(upto) OVER (PARTITION BY user_id ORDER BY first), 0) AS free_from
+FROM (SELECT user_id, first, upto FROM pair_n JOIN business_line USING (business_id)
+      UNION ALL SELECT user_id, t, t FROM user_n, (SELECT sum(n)::hugeint AS t FROM pair_n))""",
+        "gap_line": """
+SELECT user_id, user_n, free_from, weight,
+       sum(weight) OVER (ORDER BY user_id, free_from)::hugeint - weight AS start
+FROM (SELECT *, (first - free_from) * user_n AS weight
+      FROM gaps JOIN user_n USING (user_id) WHERE free_from < first)""",
+        "points": f"""
+SELECT candidate, ({spread_hash('candidate', 'u')}::hugeint * 281474976710656
+                   + {spread_hash('candidate', 'b')}) % whole AS point
+FROM (SELECT unnest(range(sum(n)::bigint)) AS candidate FROM pair_n),
+     (SELECT sum(weight)::hugeint AS whole FROM gap_line)""",
+        "places": """
+SELECT candidate, user_id, free_from + (point - start) // user_n AS place
+FROM points ASOF JOIN gap_line ON point >= start""",
         "unseen": """
-SELECT candidate, user_id, business_id FROM fresh
-QUALIFY row_number() OVER (ORDER BY candidate) <= (SELECT n FROM seen_n)""",
+SELECT candidate, user_id, business_id FROM places ASOF JOIN business_line ON place >= first""",
     }
 
 

@@ -1,6 +1,7 @@
+import hashlib
 import math
 import random
-from decimal import Decimal
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from reviewloom.functions import vectors as V
 from reviewloom.operators import entity_vectors as E
 from reviewloom.operators import groups, learning, sampling, similarity, stats, tfidf
 from reviewloom.operators.durable import stored
+from reviewloom.operators.ordering import preceding
 
 SIZE = 3
 REVIEWS = [  # user, business, review, words
@@ -252,17 +254,60 @@ def test_unseen_pairs_of_a_dense_table(spark):
     assert sorted(found) == sorted(sampling.unseen_pairs(seen.repartition(3)).collect())
 
 
-def test_draws_go_with_the_weights(spark):
-    weights = [1, 0, 5, 1000, 1, 1, 300]
-    left = spark.createDataFrame(
-        [(n, n, Decimal(w)) for n, w in enumerate(weights)], "user_id int, business_id int, weight decimal(38,0)"
-    )
-    rows = sampling._drawn_by_weight(left, 20_000).collect()
-    assert sorted(r["candidate"] for r in rows) == list(range(20_000))
-    for n, w in enumerate(weights):
-        share = sum(r["user_id"] == n for r in rows) / 20_000
-        assert share == pytest.approx(w / sum(weights), abs=0.012)
-        assert w or not share
+def test_draws_go_with_the_numbers_of_rows(spark):
+    """Most pairs are seen; each pair left comes up as often as the product of its counts says."""
+    times = {(u, b): 1 + (u * 7 + b * 3) % 5 for u in range(12) for b in range(9) if (u * 5 + b) % 10}
+    times[0, 1] = 4000
+    rows = [(u, f"b{b}") for (u, b), n in times.items() for _ in range(n)]
+    seen = spark.createDataFrame([*rows, (None, "b1"), (3, None)], "user_id int, business_id string")
+    found = sampling.unseen_pairs(seen).collect()
+    assert sorted(r["candidate"] for r in found) == list(range(len(rows)))
+    users, businesses = Counter(u for u, _ in rows), Counter(b for _, b in rows)
+    weights = {
+        (u, b): users[u] * businesses[b] for u in users for b in businesses if (u, b) not in set(rows)
+    }
+    drawn = Counter((r["user_id"], r["business_id"]) for r in found)
+    assert set(drawn) <= set(weights)
+    whole = sum(weights.values())
+    for pair, weight in weights.items():
+        assert drawn[pair] / len(found) == pytest.approx(weight / whole, abs=0.03)
+
+
+def test_draws_equal_a_plain_walk_over_the_lines(spark):
+    """The same points, walked along both lines without Spark."""
+    rows = [(f"u{(i * i) % 13}", (i * 31) % 17 % 8) for i in range(90)]
+    seen = spark.createDataFrame(rows, "user_id string, business_id int")
+    users, businesses = Counter(u for u, _ in rows), Counter(b for _, b in rows)
+    left = [(u, b) for u in sorted(users) for b in sorted(businesses) if (u, b) not in set(rows)]
+    whole = sum(users[u] * businesses[b] for u, b in left)
+
+    def digits(n, salt):
+        return int(hashlib.md5(f"{n}:{salt}".encode()).hexdigest()[:12], 16)
+
+    wanted = []
+    for n in range(len(rows)):
+        point = ((digits(n, "u") << 48) + digits(n, "b")) % whole
+        for user in sorted(users):
+            free = [b for b in sorted(businesses) if (user, b) not in set(rows)]
+            own = users[user] * sum(businesses[b] for b in free)
+            if point < own:
+                step = point // users[user]
+                break
+            point -= own
+        for business in free:
+            if step < businesses[business]:
+                break
+            step -= businesses[business]
+        wanted.append((n, user, business))
+    found = sampling.unseen_pairs(seen, hashed=sampling.spread_hash).collect()
+    assert sorted(map(tuple, found)) == wanted
+
+
+def test_rows_before_are_carried_over_partitions(spark):
+    rows = spark.range(1000).select((F.col("id") % 300).alias("a"), F.col("id").alias("b"))
+    found = preceding(rows.repartition(7), ["a", "b"], {"old": F.col("b")}).collect()
+    order = sorted((r["a"], r["b"], r["old"]) for r in found)
+    assert [r[2] for r in order] == [None, *[r[1] for r in order[:-1]]]
 
 
 def test_split_with_many_classes(spark):
