@@ -64,14 +64,18 @@ def unseen_pairs(seen: DataFrame, hashed: Hash = fast_hash) -> DataFrame:
     points = seen.sparkSession.range(count).select(
         F.col("id").alias("candidate"), point.cast(_LENGTH).alias("point")
     )
-    met = _stretch_of(points, line, int(found["whole"]), max(count, found["n"]), "gap-line")
+    met = _stretch_of(points, line, int(found["whole"]), count // _IN_BUCKET + 1, "gap-line")
     inside = F.expr("cast((point - first) div user_n as bigint)")
     placed = met.select("candidate", "user_id", (F.col("free_from") + inside).cast(_LENGTH).alias("point"))
-    return _stretch_of(placed, businesses, count, count, "business-line").select("candidate", *PAIR)
+    return _stretch_of(placed, businesses, count, count // _IN_BUCKET + 1, "business-line").select(
+        "candidate", *PAIR
+    )
 
 
 # Lengths of lines over pairs are products of two numbers of rows.
 _LENGTH = "decimal(38,0)"
+# Points and stretches meet in buckets of about so many points.
+_IN_BUCKET = 4
 _CHUNK = 1 << 16
 
 
@@ -125,7 +129,8 @@ def _stretch_of(points: DataFrame, line: DataFrame, length: int, buckets: int, l
     def bucket(place: str) -> Column:
         return F.expr(f"cast(cast({place} as {_LENGTH}) div {width} as bigint)")
 
-    dealt = stored_lookup(_each_number(line, "_bucket", bucket("first"), bucket("end - 1")), label)
+    # Written, so that Spark knows the size and deals the points by bucket where the line is long.
+    dealt = stored(_each_number(line, "_bucket", bucket("first"), bucket("end - 1")), label)
     inside = (F.col("first") <= F.col("point")) & (F.col("point") < F.col("end"))
     return points.withColumn("_bucket", bucket("point")).join(dealt, "_bucket").where(inside).drop("_bucket")
 

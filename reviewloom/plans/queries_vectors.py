@@ -317,21 +317,13 @@ def nearest_centroid(spark, folder):
 @query(
     "unseen_pairs",
     S.with_parts(
-        {
-            "reviews": S.REVIEWS_BULK,
-            "numbered": """
-SELECT user_id, business_id, row_number() OVER (ORDER BY user_id, business_id, rating,
-         review_text, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS review_id
-FROM reviews""",
-        }
-        | S.unseen("numbered"),
+        {"reviews": S.REVIEWS_BULK}
+        | S.unseen("reviews"),
         "SELECT candidate, user_id, business_id FROM unseen",
     ),
 )
 def unseen_pairs(spark, folder):
-    reviews = tables.reviews_bulk(spark, folder)
-    numbered = ids.add_review_ids(reviews, order_by=reviews.columns)
-    return sampling.unseen_pairs(numbered, hashed=sampling.spread_hash)
+    return sampling.unseen_pairs(tables.reviews_bulk(spark, folder), hashed=sampling.spread_hash)
 
 
 _TRAINING = (
