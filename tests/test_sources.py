@@ -1,3 +1,6 @@
+import csv
+import io
+
 import pytest
 
 from reviewloom.operators import learning
@@ -111,6 +114,42 @@ def test_recipes_csv_with_line_ends_in_quotes(spark, tmp_path):
     assert row["words"] == ["soup", "bread", "hot\npot"]
 
 
+def test_one_quoted_csv_is_read_by_many_tasks(spark, tmp_path):
+    """Line ends in quotes at any place, a record over several splits, as csv itself reads them."""
+    cells = ["plain", "two\nlines", 'say ""no""', "", "a, b", "\n\n", "caf\u00e9\r\nx", '""', "end\n"]
+    quoted = [f'"{c}"' if set(c) & set('\n",') else c for c in cells]
+    lines = [f"{quoted[i % 9]},{i},{quoted[i * i % 7]},{quoted[(i + 4) % 9]}" for i in range(700)]
+    lines[300] = '"' + "long\n" * 4000 + '",300,x,"y"'
+    lines[450] = ""
+    text = "name,id,description,tags\n" + "\n".join(lines) + "\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "r.csv").write_text(text, newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() >= 4
+        rows = recipes.read_quoted_csv(spark, str(tmp_path / "in"), ["id", "name", "tags", "description"])
+        found = sorted((int(r["id"]), r["name"], r["tags"], r["description"]) for r in rows.collect())
+        (tmp_path / "in" / "open.csv").write_text('name,id\n"never closed,1\n')
+        with pytest.raises(ValueError, match="close"):
+            recipes.read_quoted_csv(spark, str(tmp_path / "in"), ["id"])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    plain = [r for r in csv.reader(io.StringIO(text, newline="")) if r][1:]
+    wanted = sorted((int(r[1]), r[0], r[3], r[2]) for r in plain)
+    assert [tuple(c or "" for c in r[1:]) for r in found] == [r[1:] for r in wanted]
+    assert [r[0] for r in found] == [r[0] for r in wanted]
+
+
+def test_csv_files_without_rows_or_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"na\nme",id\n')
+    assert recipes.read_quoted_csv(spark, str(tmp_path / "a.csv"), ["id", "na\nme"]).collect() == []
+    (tmp_path / "b.csv").write_text("id\n1\n")
+    with pytest.raises(ValueError, match="headers"):
+        recipes.read_quoted_csv(spark, str(tmp_path / "[ab].csv"), ["id"])
+
+
 def test_artefacts_round_trip(spark, tmp_path):
     lists = spark.createDataFrame([(["soup", "bread"], "soup bread"), (["soup"], "soup")], "words array<string>, text string")
     path = recipes.artefact_path(str(tmp_path), "tfidf", ["ingredients", "name"])
