@@ -17,6 +17,7 @@ from reviewloom.functions.text import (
     fill_missing_text,
     picture_words,
 )
+from reviewloom.operators.durable import stored, stored_lookup
 from reviewloom.operators.ids import encode_labels
 
 # One review of the FILTER variant; of the FULL variant only the pictures differ.
@@ -96,6 +97,99 @@ def _first_key(spark: SparkSession, path: str) -> str | None:
     return next((key[1] for key in keys if key and key[1] not in LISTS), None)
 
 
+# What is left of a text within double quotes, and what stands outside of them.
+_REST_OF_TEXT = re.compile(r'(?:[^"\\]|\\.)*"', re.DOTALL)
+_NO_OPEN_TEXT = re.compile(r"""(?:[^'"]|'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+")*+""", re.DOTALL)
+
+
+def ends_in_text(piece: str, in_text: bool) -> bool:
+    """Whether a piece ends within double quotes, if it begins within (or outside of) them.
+
+    Only there can a text hold the start of a record, whose single quotes would have to be
+    escaped elsewhere.
+    """
+    at = 0
+    if in_text:
+        rest = _REST_OF_TEXT.match(piece)
+        if not rest:
+            return True
+        at = rest.end()
+    at = _NO_OPEN_TEXT.match(piece, at).end()
+    return piece[at : at + 1] == '"'
+
+
+_PIECES = "file string, block bigint, slot bigint, value string, " + ", ".join(
+    f"{name}_{state} {kind}" for name, kind in (("last", "bigint"), ("after", "int")) for state in (0, 1)
+)
+
+
+def _mark_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For both states in which a block may begin: the piece that starts the record so far,
+    and the state after each piece. Pieces come in the order of their block."""
+    block, after, last = None, [0, 1], [None, None]
+    for batch in batches:
+        marks = []
+        for row in batch.itertuples(index=False):
+            if (row.file, row.block) != block:
+                block, after, last = (row.file, row.block), [0, 1], [None, None]
+            last = [row.slot if state == 0 else old for state, old in zip(after, last)]
+            found = [int(ends_in_text(row.value, bool(state))) for state in set(after)]
+            after = [dict(zip(set(after), found))[state] for state in after]
+            marks.append((*last, *after))
+        names = ["last_0", "last_1", "after_0", "after_1"]
+        columns = pd.DataFrame(marks, columns=names, index=batch.index, dtype=object)
+        yield pd.concat([batch, columns], axis=1)
+
+
+_BLOCKS = "file string, block bigint, open int, carried_block bigint, carried_slot bigint"
+
+
+def _open_blocks(blocks: pd.DataFrame) -> pd.DataFrame:
+    """In which state each block of a file begins, and the record that is carried into it."""
+    state, carried, rows = 0, (None, None), []
+    for row in blocks.sort_values("block").to_dict("records"):
+        rows.append((row["file"], row["block"], state, *carried))
+        last = row[f"last_{state}"]
+        carried = carried if pd.isna(last) else (row["block"], int(last))
+        state = row[f"after_{state}"]
+    return pd.DataFrame(rows, columns=["file", "block", "open", "carried_block", "carried_slot"], dtype=object)
+
+
+def _whole_pieces(spark: SparkSession, path: str, start: str) -> DataFrame:
+    """The text after each start of a record up to the next one, as ``value``.
+
+    A start within a text is none: its piece goes back to the one before. The files are cut
+    at all starts, by many tasks; each block says how it ends for both states in which it
+    may begin, and these answers are put together block after block.
+    """
+    pieces = spark.read.text(path, lineSep=start).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("slot"),
+        "value",
+    )
+    marked = stored(pieces.mapInPandas(_mark_pieces, _PIECES), "printed-pieces")
+    ends = marked.groupBy("file", "block").agg(
+        *[F.max_by(name, "slot").alias(name) for name in ("last_0", "last_1", "after_0", "after_1")]
+    )
+    # A row for each block of a file.
+    places = stored_lookup(ends.groupBy("file").applyInPandas(_open_blocks, _BLOCKS), "printed-blocks")
+    at_0 = F.col("open") == 0
+    own = F.when(at_0, F.col("last_0")).otherwise(F.col("last_1"))
+    carried = F.struct(F.col("carried_block").alias("block"), F.col("carried_slot").alias("slot"))
+    placed = marked.join(places, ["file", "block"]).select(
+        "file", "block", "slot", "value",
+        F.when(own.isNotNull(), F.struct("block", own.alias("slot"))).otherwise(carried).alias("start"),
+        F.when(at_0, F.col("after_0")).otherwise(F.col("after_1")).alias("after"),
+    )
+    alone = F.col("start").eqNullSafe(F.struct("block", "slot")) & (F.col("after") == 0)
+    parts = F.sort_array(F.collect_list(F.struct("block", "slot", "value")))
+    joined = placed.where(~alone).groupBy("file", "start").agg(
+        F.array_join(F.transform(parts, lambda part: part["value"]), start).alias("value")
+    )
+    return placed.where(alone).select("value").unionByName(joined.select("value"))
+
+
 def literal_to_json_lines(
     spark: SparkSession, path: str, out: str, first_key: str | None = None
 ) -> None:
@@ -103,15 +197,13 @@ def literal_to_json_lines(
 
     However long a printed line is, it is read by many tasks: the start of a record,
     ``{'first_key': ``, serves as the line separator. Records that start with another key
-    are found in the piece of the one before. A text that holds the separator itself
-    (which takes both kinds of quotes to print) is an error, as is all that is no literal;
-    such a file can be read with another ``first_key``. Without one the key of the first
+    are found in the piece of the one before. Texts may hold anything, the separator
+    too; all that is no literal is an error. Without ``first_key`` the key of the first
     record is taken; a file without records gives no lines.
     """
     first_key = first_key or _first_key(spark, path)
     start = f"{{'{first_key}': "
-    pieces = spark.read.text(path, lineSep=start)
-    found = pieces.mapInPandas(_pieces_to_json(start), "value string")
+    found = _whole_pieces(spark, path, start).mapInPandas(_pieces_to_json(start), "value string")
     found.write.mode("overwrite").text(out)
 
 

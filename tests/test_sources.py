@@ -56,6 +56,36 @@ def test_printed_files_are_read_by_many_tasks(spark, tmp_path):
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, wanted))
 
 
+def test_texts_that_hold_the_start_of_a_record(spark, tmp_path):
+    """In one text, in many in a row, and in one that lies over several splits."""
+    start = "{'business_id': "
+    texts = [f"x {start}'b9', y", "plain", start * 3, 'say "no"', f"it's \\ {start}", "{'business_id", "\\"]
+    records = [
+        {"business_id": f"b{i}", "user_id": f"u{i}", "review_text": texts[i * i % 7]} for i in range(400)
+    ]
+    records[200]["review_text"] = (start + "a long text, ") * 1500
+    (tmp_path / "in.txt").write_text(repr({"train": records[:250], "val": records[250:], "test": []}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(tmp_path / "in.txt")).rdd.getNumPartitions() >= 4
+        reviews.literal_to_json_lines(spark, str(tmp_path / "in.txt"), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    rows = reviews.read_review_lines(spark, str(tmp_path / "out")).collect()
+    found = sorted((r["business_id"], r["user_id"], r["review_text"]) for r in rows)
+    assert found == sorted(tuple(record.values()) for record in records)
+
+
+def test_ends_of_pieces(spark):
+    assert not reviews.ends_in_text("'a', 'b': \"it's\"}, ", False)
+    assert reviews.ends_in_text("'a', 'b': \"it's ", False)
+    assert reviews.ends_in_text("no end \\\" here", True)
+    assert not reviews.ends_in_text('end", \'say "no"\'}', True)
+    assert not reviews.ends_in_text("'" + "long" * 100_000 + "'", False)
+
+
 def test_printed_records_with_nested_pictures(spark, tmp_path):
     flat = [{"user_id": "u", "pics": [{"id": "x", "at": 1}, {"id": "y"}]}, {"user_id": "v"}]
     (tmp_path / "full.txt").write_text(repr(flat) + "\n")
