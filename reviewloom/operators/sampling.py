@@ -28,7 +28,9 @@ def fast_hash(number: Column, salt: str) -> Column:
 Hash = Callable[[Column, str], Column]
 
 
-def unseen_pairs(seen: DataFrame, hashed: Hash = fast_hash) -> DataFrame:
+def unseen_pairs(
+    seen: DataFrame, hashed: Hash = fast_hash, none_left: bool = False
+) -> DataFrame:
     """As many random pairs that nobody has seen as there are seen rows with both ids.
 
     ``candidate`` (from 0 on), ``user_id``, ``business_id``. A pair comes up with the chance
@@ -44,16 +46,20 @@ def unseen_pairs(seen: DataFrame, hashed: Hash = fast_hash) -> DataFrame:
     The rows of the second line are at most the seen pairs and the users. Both lines are
     sums over a global order, so that a user or a business with a large part of all rows is
     dealt over many tasks. The draws do not depend on the partitions. Rows without one of the
-    ids take no part; if no pair is left, it is an error.
+    ids take no part; if no pair is left, it is an error, or, with ``none_left``, there are no
+    rows.
     """
     rows = seen.where(F.col("user_id").isNotNull() & F.col("business_id").isNotNull()).select(*PAIR)
     pairs = stored(rows.groupBy(*PAIR).agg(F.count("*").alias("n")), "known")
     count = pairs.agg(F.sum("n")).first()[0] or 0
+    nothing = rows.select(F.lit(0).cast("bigint").alias("candidate"), *PAIR).where(F.lit(False))
     if count == 0:
-        return rows.select(F.lit(0).cast("bigint").alias("candidate"), *PAIR).where(F.lit(False))
+        return nothing
     businesses = _popularity_line(pairs)
     gaps = stored(_gaps(pairs, businesses, count), "gaps")
     found = gaps.agg(F.sum("weight").alias("whole"), F.count("*").alias("n")).first()
+    if not found["n"] and none_left:
+        return nothing
     if not found["n"]:
         raise ValueError("every user has seen every business: there is no unseen pair")
     line = running_sums(gaps, ["user_id", "free_from"], {"first": F.col("weight")})
