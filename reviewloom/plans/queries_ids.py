@@ -265,10 +265,10 @@ def auc(spark, folder):
 
 
 def usable_review_words(spark, folder):
-    """The usable words of ``reviews_text``, one row per occurrence."""
+    """The usable words of ``reviews_text``, one row per review and word with their number."""
     vocab = document_vocabulary(spark, folder)
     reviews = tables.reviews_text(spark, folder).drop("rating")
-    return words.review_words(reviews, vocab)
+    return words.review_words(reviews, vocab, by_word=True)
 
 
 @query(
