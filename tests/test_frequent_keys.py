@@ -81,3 +81,45 @@ def test_review_sums_with_vectors_beyond_a_broadcast(spark, monkeypatch, weighti
     monkeypatch.setattr(E, "VECTOR_BROADCAST_BYTES", 600)
     monkeypatch.setattr(durable, "BROADCAST_BYTES", 100)
     assert sums() == whole
+
+
+def test_weights_found_in_turns(spark, monkeypatch):
+    counts = [(i % 3, "ab"[i % 2], i, f"w{j}", 1 + j % 2) for i in range(12) for j in range(0, 9, 1 + i % 4)]
+    counts = spark.createDataFrame(counts + [(None, "a", 90, "w1", 2)], f"{IDS}, word string, n bigint")
+    vectors = [(f"w{j}", [float(j), 1.0]) for j in range(7)]
+    vectors = spark.createDataFrame(vectors, "word string, vec array<double>")
+
+    def weights():
+        rows = E.review_sums(counts, vectors, 2).of(["user"]).collect()
+        return sorted([(r["review_id"], r["user_weight"] and round(r["user_weight"], 9)) for r in rows])
+
+    whole = weights()
+    assert len(whole) == 13
+    monkeypatch.setattr(E, "TURN_BYTES", 1000)
+    assert weights() == whole
+
+
+def test_rows_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(durable, "TASK_BYTES", 100 * durable.ROW_BYTES)
+    rows = spark.range(3000).withColumn("b", F.col("id") % 7)
+    for found in (durable.dealt(rows, "id"), durable.dealt(rows, "id", number=3000).groupBy("id").count()):
+        assert found.rdd.getNumPartitions() == 30
+        assert found.count() == 3000
+    words = [(i % 3, "ab"[i % 2], i, j, 1) for i in range(30) for j in range(40)]
+    counts = spark.createDataFrame(words, f"{IDS}, word int, n bigint")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        table = E._entity_words(counts, "user")
+        assert len([f for f in table.inputFiles()]) >= 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_written_tables_go_when_released(spark):
+    first = durable.stored(spark.range(10), "first")
+    second = durable.stored(first.repartition(2, "id"), "second")
+    files = first.inputFiles()
+    durable.released(first)
+    assert second.count() == 10
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0])
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
