@@ -11,7 +11,7 @@ from reviewloom.operators.durable import stored
 from reviewloom.operators.entity_vectors import ENTITIES, entity_means, review_sums
 from reviewloom.operators.groups import attach_groups, group_keywords
 from reviewloom.operators.tfidf import keywords_per_label
-from reviewloom.operators.vocabulary import code_words, spell_words
+from reviewloom.operators.vocabulary import spell_words
 from reviewloom.plans import sql as S
 from reviewloom.plans.modelling import baseline, deep_learning, entity_groups, evaluate
 from reviewloom.plans.preparation import Settings, prepare
@@ -130,7 +130,7 @@ def kmeans_sizes(spark, folder):
 def _counts_and_groups(spark, folder, entity):
     counts, vectors, vocab = _kept(spark, folder)
     counts = stored(counts, "kept-counts")
-    sums = review_sums(counts, code_words(vectors, vocab), S.SIZE, MODES["tfidf"])
+    sums = review_sums(counts, vectors, S.SIZE, MODES["tfidf"], vocab)
     return counts, vocab, _grouped(sums, entity)
 
 

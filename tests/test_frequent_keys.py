@@ -99,6 +99,57 @@ def test_weights_found_in_turns(spark, monkeypatch):
     assert weights() == whole
 
 
+@pytest.mark.parametrize("weighting", [E.Weighting(), E.Weighting(weighted_vectors=True)])
+def test_vectors_of_spelled_words_are_never_written(spark, monkeypatch, weighting):
+    counts = [(i % 3, "ab"[i % 2], i, j, 1 + j % 2) for i in range(12) for j in range(0, 9, 1 + i % 4)]
+    counts = spark.createDataFrame(counts, f"{IDS}, word bigint, n bigint")
+    vocabulary = spark.createDataFrame([(f"w{j}", j) for j in range(9)], "word string, idx int")
+    # Twice the same word, one without an index, and one with an index and no vector.
+    vectors = [(f"w{j}", [float(j), 1.0, -0.5 * j]) for j in [*range(8), 4]] + [("unknown", [9.0, 9.0, 9.0])]
+    vectors = spark.createDataFrame(vectors, "word string, vec array<double>")
+    coded = vectors.join(vocabulary, "word").select(F.col("idx").alias("word"), "vec")
+
+    def rounded(df):
+        flat = [[x for value in row for x in (value if isinstance(value, list) else [value])] for row in df.collect()]
+        return sorted([[round(x, 9) if isinstance(x, float) else x for x in row] for row in flat], key=repr)
+
+    whole = rounded(E.leave_one_out(E.review_sums(counts, coded, 3, weighting)))
+    assert len(whole) == 12
+    monkeypatch.setattr(E, "VECTOR_BROADCAST_BYTES", 600)
+    monkeypatch.setattr(E, "TURN_BYTES", 1000)
+    # No table of words holds vectors, and the sums of a turn take the place of those before.
+    written, most = [], []
+
+    def stored(df, label, *more):
+        found = durable.stored(df, label, *more)
+        written.append((label, found.columns))
+        most.append(len([path for path in folders() if "vector-part" in path]))
+        return found
+
+    def folders():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(durable._own_folder(spark))
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        return [str(file.getPath()) for file in files]
+
+    monkeypatch.setattr(E, "stored", stored)
+    before = len([path for path in folders() if "vector-part" in path])
+    assert rounded(E.leave_one_out(E.review_sums(counts, vectors, 3, weighting, vocabulary))) == whole
+    assert len([label for label, _ in written if label == "vector-part"]) >= 3
+    assert not [label for label, columns in written if "vec" in columns and "word" in columns]
+    assert max(most) <= before + 4
+
+
+def test_words_of_an_entity_in_turns(spark, monkeypatch):
+    words = [(i % 3 or None, "ab"[i % 2], i, j % 7, 1 + j % 2) for i in range(30) for j in range(40)]
+    counts = spark.createDataFrame(words, f"{IDS}, word int, n bigint")
+    whole = listed(E._entity_words(counts, "user"))
+    monkeypatch.setattr(E, "TURN_BYTES", 20_000)
+    shuffled = []
+    monkeypatch.setattr(E, "dealt", lambda rows, *keys, number: shuffled.append(rows.count()) or durable.dealt(rows, *keys, number=number))
+    assert listed(E._entity_words(counts, "user")) == whole
+    assert len(shuffled) > 3 and sum(shuffled) == 800 and max(shuffled) < 500
+
+
 def test_rows_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(durable, "TASK_BYTES", 100 * durable.ROW_BYTES)
     rows = spark.range(3000).withColumn("b", F.col("id") % 7)
