@@ -130,7 +130,7 @@ def kmeans_sizes(spark, folder):
 def _counts_and_groups(spark, folder, entity):
     counts, vectors, vocab = _kept(spark, folder)
     counts = stored(counts, "kept-counts")
-    sums = review_sums(counts, vectors, S.SIZE, MODES["tfidf"], vocab)
+    sums = review_sums(counts, vectors, S.SIZE, MODES["tfidf"], vocab, [entity])
     return counts, vocab, _grouped(sums, entity)
 
 

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,47 @@ def test_vectors_of_spelled_words_are_never_written(spark, monkeypatch, weightin
     assert max(most) <= before + 4
 
 
+def test_turns_do_not_grow_with_the_vocabulary(spark, monkeypatch):
+    words = [(i % 3, "ab"[i % 2], i, j if j < 5 else 5 + 40 * i + j, 1 + j % 2) for i in range(12) for j in range(40)]
+    counts = spark.createDataFrame(words, f"{IDS}, word bigint, n bigint")
+    vectors = spark.createDataFrame([(j, [float(j), 1.0]) for j in range(600)], "word bigint, vec array<double>")
+
+    def found():
+        rows = E.leave_one_out(E.review_sums(counts, vectors, 2)).collect()
+        return {r["review_id"]: [round(x, 9) for x in (*r["user_vec"], *r["business_vec"])] for r in rows}
+
+    whole = found()
+    assert len(whole) == 12
+    monkeypatch.setattr(E, "VECTOR_BROADCAST_BYTES", 600)
+    monkeypatch.setattr(E, "TURN_BYTES", 1000)
+    written, shuffled = [], []
+    monkeypatch.setattr(E, "stored", lambda df, label, *more: written.append(label) or durable.stored(df, label, *more))
+    monkeypatch.setattr(E, "dealt", lambda rows, *keys, number: shuffled.append(keys) or durable.dealt(rows, *keys, number=number))
+    assert found() == whole
+    # Not one for every few vectors, and the words of both sides are shuffled together.
+    assert written.count("vector-part") <= 1 + E.MOST_WIDE_TURNS
+    assert shuffled.count(("word",)) <= 2 * E.MOST_WIDE_TURNS + E.MOST_WEIGHT_TURNS
+    assert not [keys for keys in shuffled if set(keys) & {"user_id", "business_id"} and "review_id" not in keys]
+
+
+def test_weights_of_words_without_and_with_several_vectors(spark):
+    counts = [(1, "a", 1, 0, 2), (1, "a", 1, 1, 1), (1, "b", 2, 0, 3), (None, "b", 3, 0, 1), (2, None, None, 1, 4), (2, "b", 4, 2, 1)]
+    frame = spark.createDataFrame(counts, "user_id int, business_id string, review_id int, word int, n int")
+    vectors = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (1, [5.0])], "word int, vec array<double>")
+    sums = E.review_sums(frame, vectors, 1)
+    rows = {r["review_id"]: r for r in sums.rows.collect()}
+    idf = {0: np.log(3 / 2) + 1, 1: np.log(3 / 3) + 1, 2: np.log(3 / 2) + 1}  # users 1 and 2
+    assert set(rows) == {1, 2, 3, None}
+    assert rows[1]["user_weight"] == pytest.approx(2 * 2 * 5 * idf[0] + 1 * 1 * idf[1])
+    assert rows[2]["user_weight"] == pytest.approx(3 * 2 * 5 * idf[0]) and rows[3]["user_weight"] is None
+    assert rows[None]["user_weight"] == pytest.approx(4 * 4 * idf[1]) and rows[None]["business_weight"] is None
+    assert rows[1]["vec"] == pytest.approx([2 * 3.0 + 5.0])
+    lengths = {r["user_id"]: r["length"] for r in sums.lengths("user").collect()}
+    assert lengths == pytest.approx({1: np.hypot(5 * idf[0], idf[1]), 2: np.hypot(4 * idf[1], idf[2])})
+    totals = {r["user_id"]: r["weight"] for r in sums.totals("user").collect()}
+    assert totals[1] == pytest.approx(5 * 2 * 5 * idf[0] + idf[1])
+
+
 def test_words_of_an_entity_in_turns(spark, monkeypatch):
     words = [(i % 3 or None, "ab"[i % 2], i, j % 7, 1 + j % 2) for i in range(30) for j in range(40)]
     counts = spark.createDataFrame(words, f"{IDS}, word int, n bigint")
